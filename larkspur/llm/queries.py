@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import cooccurrence
+from larkspur.llm import canonical, cooccurrence, encoding, leakage, pieces
 from larkspur.session import table
 
+#: Where the public vocabularies lie.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,5 +32,69 @@ def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "conviction")})
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = table(spark, sf_dir, "memories")
+    fields = F.array(
+        F.struct(F.lit("tags").alias("field"), F.col("tags").alias("entries")),
+        F.struct(F.lit("locations").alias("field"), F.col("entities.locations").alias("entries")),
+    )
+    lists = memories.select("memory_id", F.inline(fields))
+    return lists.select("memory_id", "field", F.explode("entries").alias("entry"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.changed_entries(_entries(spark, sf_dir), ["memory_id", "field"], "entry")
+
+
+def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All memories with both lists in plain form, entries that became equal only once."""
+    plain = _entries(spark, sf_dir).select("memory_id", "field", canonical.canonical_column(F.col("entry")).alias("plain"))
+    return plain.groupBy("memory_id", "field").agg(F.sort_array(F.collect_set("plain")).alias("entries"))
+
+
+def _long_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat turns and sections longer than the limit, each delivery of a key once."""
+    messages = table(spark, sf_dir, "messages").select(
+        F.lit("messages").alias("item_table"), F.col("message_id").alias("item_id"), F.col("content").alias("text")
+    )
+    results = table(spark, sf_dir, "search_results").select(
+        F.lit("search_results").alias("item_table"), F.col("result_id").alias("item_id"), F.col("parent_section").alias("text")
+    )
+    both = messages.unionByName(results).filter(F.char_length("text") > pieces.LIMIT)
+    return both.dropDuplicates(["item_table", "item_id"])
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_texts(_long_items(spark, sf_dir), ["item_table", "item_id"], "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["item_table", "item_id"]
+    return pieces.oversized(p3_pieces(spark, sf_dir), keys).select(*keys, "cut")
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leakage.find_leaks(documents, "doc_id", "text", items, "item_id", "passage", 40)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_overlaps(spark, sf_dir).filter("exact >= 40").select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_scores": p5_scores}
+    return {
+        "p2_found": p2_found,
+        "p2_canonical": p2_canonical,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
+        "p5_found": p5_found,
+        "p5_scores": p5_scores,
+        "p6_ids": p6_ids,
+        "p7_found": p7_found,
+        "p7_overlaps": p7_overlaps,
+    }
