@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import canonical, cooccurrence, encoding, leakage, pieces
+from larkspur.llm import canonical, cooccurrence, encoding, leakage, pieces, spans
 from larkspur.session import table
 
 #: Where the public vocabularies lie.
@@ -86,6 +86,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_overlaps(spark, sf_dir).filter("exact >= 40").select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(*spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 300), "doc_id")
+
+
+def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_amounts(table(spark, sf_dir, "documents"), "doc_id", "text", 300)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
@@ -97,4 +105,6 @@ def queries() -> dict[str, Query]:
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_overlaps": p7_overlaps,
+        "p8_found": p8_found,
+        "p8_amounts": p8_amounts,
     }
