@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import canonical, cooccurrence, encoding, leakage, pieces, spans
+from larkspur.llm import canonical, cooccurrence, encoding, leakage, pieces, spans, variants
 from larkspur.session import table
 
 #: Where the public vocabularies lie.
@@ -22,6 +22,20 @@ def _recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("accessed_at", F.regexp_replace("memory_path", "^_vault/", "").alias("path"))
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.link_variants(table(spark, sf_dir, "persons"), "person_id", "name", "aliases")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.entity_pairs(p1_entities(spark, sf_dir), "person_id")
+
+
+def p1_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's edges with person ends on one node for each entity."""
+    persons = table(spark, sf_dir, "persons")
+    return variants.redirected_edges(table(spark, sf_dir, "edges"), persons, p1_entities(spark, sf_dir), "person_id", "name")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cooccurrence.pair_counts(_recalls(spark, sf_dir), "accessed_at", "path", 8, 2.0)
     return pairs.select(F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
@@ -96,6 +110,9 @@ def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_entities": p1_entities,
+        "p1_edges": p1_edges,
         "p2_found": p2_found,
         "p2_canonical": p2_canonical,
         "p3_found": p3_found,
