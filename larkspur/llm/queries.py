@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import canonical, cooccurrence, encoding, leakage, pieces, spans, variants
+from larkspur.llm import canonical, cooccurrence, encoding, leakage, pieces, privacy, spans, variants
 from larkspur.session import table
 
 #: Where the public vocabularies lie.
@@ -36,6 +36,30 @@ def p1_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.redirected_edges(table(spark, sf_dir, "edges"), persons, p1_entities(spark, sf_dir), "person_id", "name")
 
 
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts that may hold personal information, each delivery of a key once."""
+    messages = table(spark, sf_dir, "messages").dropDuplicates(["message_id"])
+    memories = table(spark, sf_dir, "memories").dropDuplicates(["memory_id"])
+    content = messages.select(F.lit("content").alias("field"), F.col("message_id").alias("item_id"), F.lit(0).cast("bigint").alias("pos"), F.col("content").alias("text"))
+    facts = memories.select(F.lit("personal_facts").alias("field"), F.col("memory_id").alias("item_id"), F.posexplode("personal_facts").alias("pos", "text"))
+    facts = facts.withColumn("pos", F.col("pos").cast("bigint"))
+    summary = memories.select(F.lit("summary").alias("field"), F.col("memory_id").alias("item_id"), F.lit(0).cast("bigint").alias("pos"), F.col("summary").alias("text"))
+    return content.unionByName(facts).unionByName(summary)
+
+
+def _redactor(spark: SparkSession, sf_dir: str) -> privacy.Redactor:
+    return privacy.Redactor.fit(spark, privacy.given_names(table(spark, sf_dir, "persons"), "name"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["field", "item_id", "pos"]
+    return _redactor(spark, sf_dir).spans(_personal_texts(spark, sf_dir), keys, "text").select(*keys, "kind").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _redactor(spark, sf_dir).redact(_personal_texts(spark, sf_dir), ["field", "item_id", "pos"], "text")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cooccurrence.pair_counts(_recalls(spark, sf_dir), "accessed_at", "path", 8, 2.0)
     return pairs.select(F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
@@ -117,6 +141,8 @@ def queries() -> dict[str, Query]:
         "p2_canonical": p2_canonical,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p4_found": p4_found,
+        "p4_redacted": p4_redacted,
         "p5_found": p5_found,
         "p5_scores": p5_scores,
         "p6_ids": p6_ids,
