@@ -1,11 +1,16 @@
-"""Registry of the queries of the core operators."""
+"""All queries of the core operators and their SQL."""
 
 from __future__ import annotations
 
+from larkspur.plans import texts
+from larkspur.plans.registry import Query
 
-def queries() -> dict:
-    return {}
+PARTS = (texts.R,)
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: q for part in PARTS for name, q in part.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q for part in PARTS for name, q in part.sql.items()}
