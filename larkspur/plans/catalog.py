@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.plans import texts
+from larkspur.plans import retrieval, texts
 from larkspur.plans.registry import Query
 
-PARTS = (texts.R,)
+PARTS = (texts.R, retrieval.R)
 
 
 def queries() -> dict[str, Query]:

@@ -178,8 +178,9 @@ def query_complexity(t):
 @R.add("time_ranges")
 def time_ranges(t):
     """The time that a chat turn speaks of."""
-    rows = t("messages").filter("content is not null").select("message_id", "content", F.to_date("ingested_at").alias("day")).dropDuplicates(["message_id"])
-    found = dates.with_time_range(rows, "content", F.col("day")).filter("start is not null")
+    turns = t("messages").filter(F.col("content").rlike("[0-9]{4}|年|月|最近|近期|近來|這陣子"))
+    rows = turns.select("message_id", "content", F.to_date("ingested_at").alias("day")).dropDuplicates(["message_id"])
+    found = dates.with_time_range(rows, "content", F.col("day"))
     return found.select("message_id", "start", "end", "anchor", "raw", "confidence")
 
 
