@@ -19,17 +19,26 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+RUNS = f"([{HAN}]+|[a-zA-Z0-9]+)"
+
+
+def run_tokens(run: Column) -> Column:
+    """Tokens of one run of characters of the same kind."""
+    n = F.char_length(run)
+    ones = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(run, i, 1))
+    twos = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(run, i, 2))).otherwise(empty_strings())
+    return F.when(run.rlike(f"^[{HAN}]"), F.concat(ones, twos)).otherwise(F.array(F.lower(run)))
+
+
 def tokens(text: Column) -> Column:
     """Runs of Han characters as single characters, then pairs; runs of ASCII letters and digits in lower case."""
-    runs = F.regexp_extract_all(text, F.lit(f"([{HAN}]+|[a-zA-Z0-9]+)"), 1)
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(RUNS), 1), run_tokens))
 
-    def pieces(run: Column) -> Column:
-        n = F.char_length(run)
-        ones = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(run, i, 1))
-        twos = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(run, i, 2))).otherwise(empty_strings())
-        return F.when(run.rlike(f"^[{HAN}]"), F.concat(ones, twos)).otherwise(F.array(F.lower(run)))
 
-    return F.flatten(F.transform(runs, pieces))
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them: each Latin run is one, n Han characters in a row are 2 n - 1."""
+    count = lambda rx: F.regexp_count(text, F.lit(rx))
+    return count("[a-zA-Z0-9]+") + 2 * count(f"[{HAN}]") - count(f"[{HAN}]+")
 
 
 def graph_terms(text: Column) -> Column:

@@ -6,34 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
+from larkspur.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, tok, tf, len``: how often each token is in each text, with the text's length in tokens."""
+    """``key, len, tok, tf``: how often each token is in each text, with the text's length in tokens."""
     listed = texts.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_toks"))
     return listed.select(key, F.size("_toks").alias("len"), F.explode("_toks").alias("tok")).groupBy(key, "len", "tok").agg(F.count("*").alias("tf"))
 
 
-def token_statistics(index: DataFrame) -> DataFrame:
-    """``tok, df, idf``; negative idf is replaced by EPSILON times the mean over the vocabulary."""
+def token_statistics(index: DataFrame, n_texts: int) -> DataFrame:
+    """``tok, df, _raw``: in how many texts each token is, and its inverse frequency before negative ones are replaced."""
     df = index.groupBy("tok").agg(F.count("*").alias("df"))
-    n = index.select(index.columns[0]).distinct().agg(F.count("*").alias("n_texts"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("_raw", F.log(F.col("n_texts") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("_raw").alias("_mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("_raw") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_raw")).alias("idf"))
+    return df.withColumn("_raw", F.log(n_texts - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
 
 
 def bm25(texts: DataFrame, key: str, text: str, queries: DataFrame, query: str) -> DataFrame:
     """``query_id, key, score`` of every text with a positive score. ``queries`` has ``query_id`` and a text; a token
-    that a query repeats counts as often. Only postings of the queries' tokens are joined, statistics cover all
-    texts; null texts and queries have no tokens."""
-    index = postings(texts, key, text)
+    that a query repeats counts as often. The postings are written once and read for the statistics, which cover
+    all texts, and for the tokens of the queries. Negative inverse frequencies become EPSILON times the mean over
+    the vocabulary; null texts and queries have no tokens."""
+    index = cut_lineage(postings(texts, key, text))
+    whole = index.agg(F.countDistinct(key).alias("n"), F.sum("tf").alias("total")).first()
+    n, mean_length = whole["n"], (whole["total"] or 0) / max(1, whole["n"])
     asked = queries.select("query_id", F.explode(tokens(F.coalesce(F.col(query), F.lit("")))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("_times"))
-    lengths = texts.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("len")).filter("len > 0").agg(F.avg("len").alias("_mean_len"))
-    weights = asked.join(token_statistics(index), "tok")
+    statistics = token_statistics(index, n)
+    mean = statistics.agg(F.avg("_raw")).first()[0] or 0.0
+    weights = asked.join(statistics, "tok").select("query_id", "tok", "_times", F.when(F.col("_raw") < 0, EPSILON * mean).otherwise(F.col("_raw")).alias("idf"))
     tf = F.col("tf").cast("double")
-    gain = F.col("_times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("_mean_len")))
-    scored = index.join(weights, "tok").crossJoin(F.broadcast(lengths)).groupBy("query_id", key).agg(F.sum(gain).alias("score"))
-    return scored.filter("score > 0")
+    gain = F.col("_times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean_length))
+    return index.join(weights, "tok").groupBy("query_id", key).agg(F.sum(gain).alias("score")).filter("score > 0")

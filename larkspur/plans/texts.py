@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates, text
+from larkspur.operators import lexical
 from larkspur.operators import memories as M
 from larkspur.plans.registry import MEM, TOKENS, Registry
 
@@ -16,16 +17,15 @@ TOK = TOKENS.format("coalesce(text, '')")
 WITH x AS (SELECT lower(lang) AS lang, {TOK} AS toks FROM documents)
 SELECT lang, count(*) AS n_docs, sum(len(toks))::bigint AS n_tokens, max(len(toks))::bigint AS longest FROM x GROUP BY lang""")
 def tokenize_stats(t):
-    toks = t("documents").select(F.lower("lang").alias("lang"), text.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    n = F.size("toks").cast("bigint")
+    toks = t("documents").select(F.lower("lang").alias("lang"), text.token_count(F.coalesce("text", F.lit(""))).cast("bigint").alias("n"))
+    n = F.col("n")
     return toks.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_tokens"), F.max(n).alias("longest"))
 
 
 @R.add("corpus_df", f"""
 SELECT tok, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TOK}) AS tok FROM documents) GROUP BY tok""")
 def corpus_df(t):
-    rows = t("documents").select("doc_id", F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("tok"))
-    return rows.groupBy("tok", "doc_id").agg(F.count("*").alias("n")).groupBy("tok").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+    return lexical.postings(t("documents"), "doc_id", "text").groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 PARAGRAPHS = """
