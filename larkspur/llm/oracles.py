@@ -16,8 +16,32 @@ f AS (
 """
 
 
+#: White space and the ends of sentences.
+NATURAL = "[\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}.!?。！？]"
+
+P3 = f"""
+WITH x AS (SELECT DISTINCT 'messages' AS item_table, message_id AS item_id, content AS t FROM messages WHERE length(content) > 1200
+  UNION SELECT 'search_results', result_id, parent_section FROM search_results WHERE length(parent_section) > 1200)
+SELECT item_table, item_id, CASE WHEN list_max([length(p) for p in regexp_split_to_array(t, '{NATURAL}')]) > 1200 THEN 'forced' ELSE 'natural' END AS cut FROM x"""
+
+P7 = """
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
+i AS (SELECT item_id, regexp_replace(lower(passage), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM eval_items),
+dw AS (SELECT doc_id, substr(t, k, 40) AS w FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS k FROM d WHERE length(t) >= 40)),
+iw AS (SELECT DISTINCT item_id, substr(t, k, 40) AS w FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS k FROM i WHERE length(t) >= 40))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)"""
+
+P8 = """
+WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents WHERE length(text) >= 300)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), o AS (SELECT doc_id, h FROM w SEMI JOIN s USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM o a JOIN o b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": P3,
+        "p7_found": P7,
+        "p8_found": P8,
         "p5_found": P5 + "SELECT path_a, path_b FROM f",
         "p5_scores": P5 + """
 SELECT path_a AS item_a, path_b AS item_b, n_a, n_b, n_ab, n_all AS n_baskets,
