@@ -12,6 +12,8 @@ from larkspur.session import cut_lineage
 # How much a hit by each pattern counts.
 ONE_HOP = {"mem_location": 2.0, "mem_person": 2.0, "mem_event": 2.0, "mem_period": 1.5}
 TWO_HOPS = {("mem_person", "person_loc", "src"): 1.0, ("mem_event", "event_loc", "src"): 1.0, ("mem_person", "person_event", "src"): 1.0, ("mem_location", "event_loc", "dst"): 0.8}
+#: Terms of queries that every task gets at once.
+MOST_TERMS = 100_000
 #: Labels in the order in which a name is looked for.
 LABELS = ("Person", "Location", "Event", "Period")
 
@@ -33,9 +35,12 @@ def memories_at(edges: DataFrame, when: Column) -> DataFrame:
 def pattern_search(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id, path, score``: memories one or two edges away from a node whose name holds a term; every pattern counts
     once per memory and term. Node names are matched first, so that edges are joined by equal ends only; of the
-    names, each is set against the terms of the queries, which are broadcast."""
+    names, each is set against the terms of the queries, which are broadcast in blocks of about MOST_TERMS."""
     ends = edges.select(F.col("dst_label").alias("label"), F.col("dst").alias("name")).unionByName(edges.filter("src_label != 'Memory'").select(F.col("src_label").alias("label"), F.col("src").alias("name"))).distinct()
-    hits = cut_lineage(ends.join(F.broadcast(terms.select("query_id", "term").distinct()), F.col("name").contains(F.col("term"))))
+    asked = cut_lineage(terms.select("query_id", "term").distinct())
+    blocks = max(1, -(-asked.count() // MOST_TERMS))
+    by_block = [ends.join(F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id", "term"), F.lit(blocks)) == k)), F.col("name").contains(F.col("term"))) for k in range(blocks)]
+    hits = cut_lineage(reduce(DataFrame.unionByName, by_block))
     found = []
     for rel, weight in ONE_HOP.items():
         one = edges.filter(F.col("rel") == rel).select(F.col("src").alias("path"), F.col("dst_label").alias("label"), F.col("dst").alias("name")).distinct()
