@@ -28,9 +28,10 @@ def corpus_df(t):
     return lexical.postings(t("documents"), "doc_id", "text").groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-PARAGRAPHS = """
-p AS (SELECT doc_id, path, list_filter([trim(regexp_replace(regexp_replace(regexp_replace(b, '^\\s+|\\s+$', '', 'g'), '(?m)^#{1,6}\\s+', '', 'g'), '(?m)^[-*_]{3,}$', '', 'g'), E' \\t\\n\\r\\f\\v')
-    for b in regexp_split_to_array(text, '\\n{2,}')], lambda b: length(b) >= 25) AS paras FROM documents)"""
+ENDS = "'^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g'"
+PARAGRAPHS = f"""
+p AS (SELECT doc_id, path, list_filter([regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, {ENDS}), '(?m)^#{{1,6}}[\\s\\x0b]+', '', 'g'), '(?m)^[-*_]{{3,}}$', '', 'g'), {ENDS})
+    for b in regexp_split_to_array(text, '\\n{{2,}}')], lambda b: length(b) >= 25) AS paras FROM documents)"""
 
 
 @R.add("paragraph_chunks", f"WITH {PARAGRAPHS} SELECT path || '::para' || (i - 1) AS chunk_id, doc_id, (i - 1)::int AS chunk_index, length(paras[i])::int AS n_chars FROM (SELECT *, unnest(range(1, len(paras) + 1)) AS i FROM p)")
