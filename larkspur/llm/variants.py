@@ -51,6 +51,8 @@ KINDS = set(
 SAME_KIND = {"center": "centre", "ctr": "centre", "intl": "international", "bros": "brothers", "labs": "laboratories", "mfg": "manufacturing"}
 FILLERS = {"the", "of", "and", "for", "&"}
 
+#: Words of this length and more may be one typing error apart, in comparing and so in blocking.
+SHORTEST = 4
 #: Blocks with more nodes than this are split by the given name, too.
 LARGE_BLOCK = 100
 #: Lists of entities up to this size (8 bytes each) are handed to every task, longer ones joined by a shuffle.
@@ -97,10 +99,10 @@ def _kind_of(word: str, dotted: bool) -> str | None:
     return None
 
 
-def read_form(spelling: str) -> tuple[str, str, list[str], str]:
+def read_form(spelling: str, romanised: bool = True) -> tuple[str, str, list[str], str]:
     """``kind, given, others, family``: p a person, i one with an initial or less, o an organisation, r a romanised name
     (its syllables in ``others``), x and h a string that means only itself, the latter made up, and an empty
-    kind for what names nobody."""
+    kind for what names nobody. Without ``romanised`` the words of a romanised name are read like others."""
     text = folded(spelling)
     plain = text.lower().strip(" .,")
     if not plain or plain in ROLES or plain.removeprefix("the ") in ROLES:
@@ -132,7 +134,7 @@ def read_form(spelling: str) -> tuple[str, str, list[str], str]:
     full = [w for w in words if len(w) > 1]
     if not full:
         return "", "", [], ""
-    if len(words) > 1 and all(re.fullmatch(f"(?:{SYLLABLE.pattern})+", w) for w in words):
+    if romanised and len(words) > 1 and all(re.fullmatch(f"(?:{SYLLABLE.pattern})+", w) for w in words):
         syllables = [x for w in ([*words[-1:], *words[:-1]] if comma else words) for x in SYLLABLE.findall(w)]
         if len(syllables) <= 4:
             return "r", "", syllables, " ".join(sorted(syllables))
@@ -147,17 +149,20 @@ def read_form(spelling: str) -> tuple[str, str, list[str], str]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     full = _full_names()
     for batch in batches:
-        forms = [read_form(s) for s in batch["spelling"]]
-        out = pd.DataFrame(forms, columns=["kind", "given", "others", "family"])
+        spelled = [(s, read_form(s)) for s in batch["spelling"]]
+        # what could be a romanised name could also be any other, such as Lena Wang
+        spelled += [(s, other) for s, form in spelled if form[0] == "r" and (other := read_form(s, False))[0] == "p"]
+        out = pd.DataFrame([form for _, form in spelled], columns=["kind", "given", "others", "family"])
         out["others"] = [sorted({*o, *(f for g in (given, *o) for f in full.get(g, ()))} - {given}) if kind == "p" else o for kind, given, o in zip(out.kind, out.given, out.others)]
-        yield pd.concat([batch[["spelling"]].reset_index(drop=True), out], axis=1)
+        out.insert(0, "spelling", [s for s, _ in spelled])
+        yield out
 
 
 def near(a: str, b: str) -> bool:
     """Equal or one typing error apart: a letter more, less or other, or two swapped."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 4:
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < SHORTEST:
         return False
     k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     if len(a) != len(b):
@@ -186,9 +191,9 @@ def _none() -> Column:
 
 
 def _less(word: Column) -> Column:
-    """The word and, of longer ones, all its spellings with one letter less: words one error apart share one of them."""
+    """The word and, where `near` allows an error, all its spellings with one letter less: words one error apart share one of them."""
     without = F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.concat(F.substring(word, 1, i - 1), F.substring(word, i + 1, F.char_length(word))))
-    return F.when(F.char_length(word) >= 6, F.array_distinct(F.concat(F.array(word), without))).otherwise(F.array(word))
+    return F.when(F.char_length(word) >= SHORTEST, F.array_distinct(F.concat(F.array(word), without))).otherwise(F.array(word))
 
 
 def spelling_forms(nodes: DataFrame, key: str, name: str, aliases: str) -> DataFrame:
@@ -278,21 +283,24 @@ def _alike(profile: DataFrame, fresh: DataFrame | None) -> DataFrame:
     people = profile.filter("kind in ('p', 'o')").withColumn("cat", F.when(F.col("kind") == "o", F.col("given")).otherwise(""))
     givens = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "p", F.array_union(F.array("given"), "others")).otherwise(_none()))))
     entities = people.groupBy("entity", "kind", "cat").agg(givens.alias("given"), F.collect_set("family").alias("family"))
-    turned = F.filter("given", lambda g: F.char_length(g) > 8)
-    sides = F.array(F.struct(F.col("family").alias("words"), F.col("given").alias("rest")), F.struct(turned.alias("words"), F.col("family").alias("rest")))
-    words = entities.select("entity", F.concat_ws("|", "kind", "cat").alias("key"), F.explode(sides).alias("s")).select("entity", "key", "s.rest", F.explode("s.words").alias("word"))
-    keyed = words.select("entity", "rest", F.explode(_less(F.col("word"))).alias("word"), "key").select("entity", "rest", F.concat_ws("|", "key", "word").alias("key"))
+    sides = F.array(
+        F.struct(F.lit(False).alias("turned"), F.col("family").alias("words"), F.col("given").alias("rest")),
+        F.struct(F.lit(True).alias("turned"), F.col("given").alias("words"), F.col("family").alias("rest")),
+    )
+    words = entities.select("entity", F.concat_ws("|", "kind", "cat").alias("key"), F.explode(sides).alias("s")).select("entity", "key", "s.turned", "s.rest", F.explode("s.words").alias("word"))
+    keyed = words.select("entity", "turned", "rest", F.explode(_less(F.col("word"))).alias("word"), "key").select("entity", "turned", "rest", F.concat_ws("|", "key", "word").alias("key"))
     if fresh is not None:
         keyed = keyed.join(keyed.join(fresh, "entity", "left_semi").select("key").distinct(), "key", "left_semi")
     keyed = cut_lineage(keyed)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # given names only meet family names: of two turned ones, the families meet as well
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("turned").alias("_turned")).filter("n > 1 and not _turned").drop("_turned")
     keyed = keyed.join(sizes, "key")
-    large = keyed.filter((F.col("n") > LARGE_BLOCK) & (F.size("rest") > 0)).select("entity", "rest", "key", F.explode("rest").alias("given"))
-    large = large.select("entity", "rest", "key", F.explode(_less(F.col("given"))).alias("given")).select("entity", "rest", F.concat_ws("|", "key", "given").alias("key"))
-    blocks = keyed.filter((F.col("n") <= LARGE_BLOCK) | (F.size("rest") == 0)).select("entity", "rest", "key").unionByName(large)
+    large = keyed.filter((F.col("n") > LARGE_BLOCK) & (F.size("rest") > 0)).select("entity", "turned", "rest", "key", F.explode("rest").alias("given"))
+    large = large.select("entity", "turned", "rest", "key", F.explode(_less(F.col("given"))).alias("given")).select("entity", "turned", "rest", F.concat_ws("|", "key", "given").alias("key"))
+    blocks = keyed.filter((F.col("n") <= LARGE_BLOCK) | (F.size("rest") == 0)).select("entity", "turned", "rest", "key").unionByName(large)
     near_given = (F.size("x") == 0) | F.exists("x", lambda x: F.exists("y", lambda y: (x == y) | (F.levenshtein(x, y, 2) >= 0)))
-    one, other = blocks.select(F.col("entity").alias("a"), F.col("rest").alias("x"), "key"), blocks.select(F.col("entity").alias("b"), F.col("rest").alias("y"), "key")
-    pairs = one.join(other, "key").filter("a < b").filter(near_given).select("a", "b").distinct()
+    one, other = (blocks.select(F.col("entity").alias(e), F.col("rest").alias(r), F.col("turned").alias(f"turned_{e}"), "key") for e, r in ("ax", "by"))
+    pairs = one.join(other, "key").filter("a < b and not (turned_a and turned_b)").filter(near_given).select("a", "b").distinct()
     if fresh is not None:
         new = F.broadcast(fresh) if fresh.count() <= MOST_BROADCAST else fresh
         flags = [new.select(F.col("entity").alias(s), F.lit(True).alias(f"_new_{s}")) for s in "ab"]

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
+from larkspur.llm import variants
 from larkspur.llm.variants import entity_pairs, link_variants, near, read_form
 
 SCHEMA = "person_id bigint, name string, aliases array<string>, entity string"
@@ -49,5 +51,22 @@ def test_merged_profiles_meet_again(spark):
     assert set(got.values()) == {1}
 
 
+@pytest.mark.parametrize("large", [2, 100])
+def test_short_names_against_brute_force(spark, monkeypatch, large):
+    """All pairs that `near` allows are linked, however short the names and however full their blocks."""
+    monkeypatch.setattr(variants, "LARGE_BLOCK", large)
+    given, family = ["Laura", "Luara", "Christopher", "Rolf", "Roolf", "Max", "Lena"], ["Klein", "Kleni", "Montague", "Berg", "Begr", "Wang", "Wnag", "Ott"]
+    names = [(g, f) for g in given for f in family] + [("Klein", "Brigitt"), ("Brigitt", "Kleni"), ("Brigit", "Klein")]
+    people = spark.createDataFrame([(k, f"{g} {f}", None, "") for k, (g, f) in enumerate(names)], SCHEMA)
+    got = {r.person_id: r.entity for r in link_variants(people, "person_id", "name", "aliases").collect()}
+
+    same = {k: k for k in range(len(names))}
+    for (a, (ga, fa)), (b, (gb, fb)) in combinations(enumerate((g.lower(), f.lower()) for g, f in names), 2):
+        if (near(ga, gb) and near(fa, fb)) or (near(ga, fb) and near(fa, gb)):
+            old, new = max(same[a], same[b]), min(same[a], same[b])
+            same = {k: new if v == old else v for k, v in same.items()}
+    assert got == same
+
+
 def test_no_rows(spark):
     assert link_variants(spark.createDataFrame([], SCHEMA), "person_id", "name", "aliases").count() == 0
