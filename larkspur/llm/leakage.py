@@ -1,9 +1,9 @@
 """Evaluation passages inside a corpus, found by spaced seeds.
 
 Texts are reduced to their letters and digits, regardless of case. A seed is a fixed mask over a window of
-characters that ignores some of them; hashes of all windows of the passages are joined with those of every
-n-th window of the corpus, n being small enough that no passage of the wanted length slips through. Around
-each hit the overlap is then measured, exactly and with substitutions.
+characters that ignores some of them; hashes of all windows of the passages are joined with those of all windows
+of the corpus. Where only exact runs count, every n-th window of the corpus does, n being small enough that no
+run of the wanted length slips through. Around each hit the overlap is then measured, exactly and with substitutions.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ from pyspark.sql.types import StructType
 
 from larkspur.session import cut_lineage
 
-#: Fixed masks over windows of 24 characters: 1 is hashed, 0 ignored.
+#: Fixed masks over windows of 24 characters: 1 is hashed, 0 ignored. With all windows looked up they find any 40
+#: characters with 1 substitution, 52 with 2 and 60 with 3, wherever those are.
 MASKS = ("111011011101101110110111", "110111100111101101111011")
 SPAN = len(MASKS[0])
 #: Characters kept on both sides of a hit, to measure the overlap there.
 CONTEXT = 160
+#: Characters whose windows are hashed at once in a task.
+SLICE = 1 << 18
 #: So many hashes of passages (8 bytes each) are handed to every task at once.
 MOST_BROADCAST = 4_000_000
 #: How many substitutions in a row and in any 20 characters an overlap may have.
@@ -57,12 +60,13 @@ def reduced(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return small[points[use]], counted[np.concatenate([[0], np.cumsum(lengths)])]
 
 
-def seed_hashes(letters: np.ndarray, at: np.ndarray, mask: int) -> np.ndarray:
-    """Hashes of the windows that begin at ``at``, by one mask."""
-    out = np.full(len(at), mask + 1, np.uint64)
+def seed_hashes(letters: np.ndarray, at: np.ndarray | None, mask: int) -> np.ndarray:
+    """Hashes of the windows that begin at ``at``, or of all, by one mask."""
+    n = max(0, len(letters) - SPAN + 1) if at is None else len(at)
+    out = np.full(n, mask + 1, np.uint64)
     for k, bit in enumerate(MASKS[mask]):
         if bit == "1":
-            out += (letters[at + k].astype(np.uint64) + np.uint64(0x9E3779B9)) * _weights()[k]
+            out += ((letters[k : k + n] if at is None else letters[at + k]).astype(np.uint64) + np.uint64(0x9E3779B9)) * _weights()[k]
             out ^= out >> np.uint64(29)
     return (out * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
@@ -94,30 +98,57 @@ def _reduced(texts: pd.Series) -> pd.Series:
 
 def _hits(batches: Iterator[pa.RecordBatch], step: int, wanted: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Windows of the corpus whose hashes are wanted, with what is around them: ``key, _hash, _before, _window, _after``."""
+    sieve = _sieve(wanted)
     for batch in batches:
         letters, bounds = reduced(batch.column(1).to_pylist())
-        at, owner = windows(bounds, step)
-        found = []
-        for mask in range(len(MASKS)):
-            hashes = seed_hashes(letters, at, mask)
-            hit = np.flatnonzero(_among(hashes, wanted))
-            found.append((hit, hashes[hit]))
-        hits, hashes = np.concatenate([h for h, _ in found]), np.concatenate([x for _, x in found])
-        if not len(hits):
+        found = [x for mask in range(len(MASKS)) for x in _wanted_windows(letters, bounds, step, mask, wanted, sieve)]
+        at, owner, hashes = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(3))
+        if not len(at):
             continue
-        begin, end = bounds[:-1][owner[hits]], bounds[1:][owner[hits]]
+        begin, end = bounds[:-1][owner], bounds[1:][owner]
         text = letters.astype("<i4").tobytes().decode("utf-32-le", "surrogatepass")
         rows = [
             (text[max(b, a - CONTEXT) : a], text[a : a + SPAN], text[a + SPAN : min(e, a + SPAN + CONTEXT)])
-            for a, b, e in zip(at[hits].tolist(), begin.tolist(), end.tolist())
+            for a, b, e in zip(at.tolist(), begin.tolist(), end.tolist())
         ]
         columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[hits])), pa.array(hashes), *columns], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(hashes), *columns], schema=schema)
+
+
+def _wanted_windows(letters: np.ndarray, bounds: np.ndarray, step: int, mask: int, wanted: np.ndarray, sieve: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, texts and hashes of every ``step``-th window with a wanted hash."""
+    if step > 1:
+        at, owner = windows(bounds, step)
+        hashes = seed_hashes(letters, at, mask)
+        hit = np.flatnonzero(_among(hashes, wanted, sieve))
+        yield at[hit], owner[hit], hashes[hit]
+        return
+    for first in range(0, len(letters) - SPAN + 1, SLICE):
+        hashes = seed_hashes(letters[first : first + SLICE + SPAN - 1], None, mask)
+        hit = np.flatnonzero(_among(hashes, wanted, sieve))
+        at = first + hit
+        owner = np.searchsorted(bounds, at, side="right") - 1
+        whole = at + SPAN <= bounds[owner + 1]
+        yield at[whole], owner[whole], hashes[hit][whole]
+
+
+def _sieve(wanted: np.ndarray) -> np.ndarray:
+    """Which first bits the wanted hashes have."""
+    out = np.zeros(1 << min(26, max(10, len(wanted).bit_length() + 4)), bool)
+    out[_first_bits(wanted, out)] = True
+    return out
+
+
+def _first_bits(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(65 - len(sieve).bit_length())).view(np.int64)
 
 
-def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-    return wanted[at] == hashes if len(wanted) else np.zeros(len(hashes), bool)
+def _among(hashes: np.ndarray, wanted: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    out = sieve[_first_bits(hashes, sieve)]
+    if len(wanted):
+        some = hashes[out]
+        out[out] = wanted[np.minimum(np.searchsorted(wanted, some), len(wanted) - 1)] == some
+    return out
 
 
 def _side(doc: str, item: str, backwards: bool) -> tuple[int, int, int]:
@@ -158,10 +189,11 @@ def _measure(batches: Iterator[pd.DataFrame], key: str, item: str) -> Iterator[p
         yield pd.DataFrame({key: b[key], item: b[item]} | columns)
 
 
-def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, least: int = 40) -> DataFrame:
+def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, least: int = 40, tolerant: bool = True) -> DataFrame:
     """Rows ``key, item, exact, overlap, substitutions``: per pair of document and item the longest exact run of letters
     and digits around their common seeds (at most 2 * CONTEXT + SPAN are looked at) and the longest overlap with
-    substitutions. Every pair with ``least`` letters or digits in a row is among them.
+    substitutions. Every pair with ``least`` letters or digits in a row is among them and, where ``tolerant``, every pair
+    with a window in common by one of the masks (see there what they guarantee), however it lies in the document.
 
     ``least`` must be at least SPAN. Null, empty and short texts or passages give no rows; a document or item
     that comes in several rows comes out once per key; empty tables give no rows; other columns are ignored
@@ -170,7 +202,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: s
     """
     if least < SPAN:
         raise ValueError(f"least must be at least {SPAN}")
-    step = least - SPAN + 1
+    step = 1 if tolerant else least - SPAN + 1
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((corpus, key), (items, item))}
 
     passages = items.select(F.col(item), F.col(passage).alias("_text")).filter(F.char_length("_text") >= SPAN)

@@ -42,6 +42,23 @@ def test_substitutions_are_seen(spark):
     assert got.exact < 40 and got.overlap >= 60 and 2 <= got.substitutions <= 3
 
 
+def test_near_copies_at_all_alignments(spark):
+    r = random.Random(4)
+    some = lambda n: "".join(r.choice("abcdefghijklm") for _ in range(n))
+    passages, docs, want = {}, {}, set()
+    for item, (size, every) in enumerate([(60, 20), (80, 20), (60, 15), (100, 15)]):
+        passages[item] = some(size)
+        for phase in range(every):
+            copy = "".join("z" if k % every == phase else c for k, c in enumerate(passages[item]))
+            for ahead in range(17):
+                docs[len(docs)] = some(ahead) + copy + some(30)
+                want.add((len(docs) - 1, item, size - 2 * every))
+    corpus = spark.createDataFrame(list(docs.items()), "doc_id int, text string").repartition(4)
+    items = spark.createDataFrame(list(passages.items()), "item_id int, passage string")
+    found = {(x.doc_id, x.item_id): x.overlap for x in find_leaks(corpus, "doc_id", "text", items, "item_id", "passage").collect()}
+    assert not [w for w in want if found.get(w[:2], 0) < w[2]]
+
+
 def test_no_rows(spark):
     docs, items = spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame([], "item_id int, passage string")
     assert find_leaks(docs, "doc_id", "text", items, "item_id", "passage").count() == 0
