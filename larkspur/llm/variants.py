@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -241,14 +242,14 @@ def _romanised(forms: DataFrame) -> DataFrame:
     )
 
 
-def link_variants(nodes: DataFrame, key: str, name: str, aliases: str, most_rounds: int = 10) -> DataFrame:
+def link_variants(nodes: DataFrame, key: str, name: str, aliases: str, most_rounds: int | None = None) -> DataFrame:
     """``key, entity`` of every node: the smallest key of those that mean the same person or organisation.
 
     ``key`` is an integer, ``aliases`` an array of strings. Words for a role name nobody. An initial, or a family
     name alone, is linked only where exactly one entity fits. Null names and null, empty or blank aliases are
     passed over, a node without any name stays alone, repeated rows count once, rows without a key give
     none; an empty table gives none; other columns are ignored whatever their names. Texts of any length
-    are read whole.
+    are read whole. Goes on until nothing merges; raises where ``most_rounds`` are given and don't suffice.
     """
     forms = cut_lineage(spelling_forms(nodes, key, name, aliases).distinct())
     everyone = nodes.select(F.col(key).alias("node")).dropna().distinct()
@@ -261,11 +262,13 @@ def link_variants(nodes: DataFrame, key: str, name: str, aliases: str, most_roun
     each_form = whole.select(F.col("_first").alias("entity"), "kind", "given", "others", "family").distinct()
     entity = _merged(entity, exact.unionByName(_alike(each_form, None)))
     fresh = entity.filter("node != entity").select("entity").distinct()
-    for _ in range(most_rounds):
+    for done in count():
         profile = cut_lineage(forms.join(entity, "node").select("entity", "kind", "given", "others", "family").distinct())
         edges = cut_lineage(_alike(profile, fresh).unionByName(_by_initial(profile)))
         if edges.isEmpty():
             break
+        if done == most_rounds:
+            raise RuntimeError(f"spellings still merge after {most_rounds} rounds")
         before, entity = entity, _merged(entity, edges)
         fresh = cut_lineage(entity.join(before.withColumnRenamed("entity", "_was"), "node").filter("entity != _was").select("entity").distinct())
     return entity.select(F.col("node").alias(key), "entity")

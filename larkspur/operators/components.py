@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 50
 
     Each round is two joins and aggregations on single edges, whatever the shape of the graph: no group is
     gathered in one place. Null ends and loops are left out, repeated edges count once; an empty table
-    gives no rows.
+    gives no rows. Raises where ``most_rounds`` don't suffice.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     both = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
@@ -31,5 +31,7 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 50
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

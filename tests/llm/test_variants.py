@@ -7,6 +7,7 @@ import pytest
 
 from larkspur.llm import variants
 from larkspur.llm.variants import entity_pairs, link_variants, near, read_form
+from larkspur.operators.components import connected_components
 
 SCHEMA = "person_id bigint, name string, aliases array<string>, entity string"
 
@@ -51,6 +52,16 @@ def test_merged_profiles_meet_again(spark):
     assert set(got.values()) == {1}
 
 
+def test_rounds_that_do_not_suffice(spark):
+    rows = [(1, "Francisco Ruvaraikmek", ["Franicsco Ruvarikmek"], ""), (2, "Franicsco Ruvaraikmek", None, ""), (3, "Francisco Ruvarikmek", None, ""), (4, "F. Ruvarikmek", None, "")]
+    people = spark.createDataFrame(rows, SCHEMA)
+    assert {r.entity for r in link_variants(people, "person_id", "name", "aliases").collect()} == {1}
+    with pytest.raises(RuntimeError):
+        link_variants(people, "person_id", "name", "aliases", most_rounds=0)
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a int, b int"), "a", "b", most_rounds=2)
+
+
 @pytest.mark.parametrize("large", [2, 100])
 def test_short_names_against_brute_force(spark, monkeypatch, large):
     """All pairs that `near` allows are linked, however short the names and however full their blocks."""
