@@ -11,7 +11,7 @@ from larkspur.operators import memories as M
 from larkspur.operators import ranking
 from larkspur.operators.components import connected_components
 from larkspur.plans.registry import ACC, AS_OF, MEM, Registry
-from larkspur.session import ensure_checkpoint_dir
+from larkspur.session import shared_folder
 
 R = Registry()
 WHEN = "2025-06-01"
@@ -424,8 +424,7 @@ def stream_new_messages(t):
 
     source = t("messages")
     spark = source.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     first = source.inputFiles()[0]
     folder, name = first.rsplit("/", 1)
     pattern = name if len(source.inputFiles()) == 1 else "*.parquet"
