@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 50
     low, high = F.least(a, b), F.greatest(a, b)
     both = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     stars = cut_lineage(edges.filter(both).select(high.alias("u"), low.alias("v")).distinct())
-    mark = None
-    for _ in range(most_rounds):
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    mark = state(stars)
+    for _ in range(most_rounds if mark[0] else 0):
         around = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,11 +28,12 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 50
         joined = large.join(least, "u")
         small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         stars = cut_lineage(small.distinct())
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        now = state(stars)
         if now == mark:
             break
         mark = now
     else:
-        raise RuntimeError(f"components still change after {most_rounds} rounds")
+        if mark[0]:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
