@@ -254,23 +254,25 @@ def link_variants(nodes: DataFrame, key: str, name: str, aliases: str, most_roun
     forms = cut_lineage(spelling_forms(nodes, key, name, aliases).distinct())
     everyone = nodes.select(F.col(key).alias("node")).dropna().distinct()
 
+    # every form belongs to the first node that has it; the others are merged with that one
     whole = forms.filter("kind != 'i'").withColumn("_form", F.concat_ws("|", F.col("kind"), F.array_sort(F.array("given", "family"))))
-    often = cut_lineage(whole.groupBy("_form").agg(F.min("node").alias("_first")))
-    whole = whole.join(often, "_form")
-    exact = whole.select(F.col("node").alias("a"), F.col("_first").alias("b")).filter("a != b")
-    entity = everyone.select("node", F.col("node").alias("entity"))
-    each_form = whole.select(F.col("_first").alias("entity"), "kind", "given", "others", "family").distinct()
-    entity = _merged(entity, exact.unionByName(_alike(each_form, None)))
-    fresh = entity.filter("node != entity").select("entity").distinct()
+    whole = cut_lineage(whole.join(whole.groupBy("_form").agg(F.min("node").alias("owner")), "_form"))
+    exact = whole.select(F.col("node").alias("a"), F.col("owner").alias("b")).filter("a != b")
+    owned = cut_lineage(whole.select("owner", "kind", "given", "others", "family").distinct())
+    keys = cut_lineage(_block_keys(owned))
+
+    owners = owned.select(F.col("owner").alias("node"), F.col("owner").alias("entity")).distinct()
+    edges = exact.unionByName(_alike(owned, keys, owners, None))
+    before, entity = owners, _merged(everyone.select("node", F.col("node").alias("entity")), edges)
     for done in count():
-        profile = cut_lineage(forms.join(entity, "node").select("entity", "kind", "given", "others", "family").distinct())
-        edges = cut_lineage(_alike(profile, fresh).unionByName(_by_initial(profile)))
+        edges = cut_lineage(_alike(owned, keys, entity, _richer(owned, before, entity)))
+        if edges.isEmpty():
+            edges = cut_lineage(_by_initial(forms.join(entity, "node").select("entity", "kind", "given", "others", "family").distinct()))
         if edges.isEmpty():
             break
         if done == most_rounds:
             raise RuntimeError(f"spellings still merge after {most_rounds} rounds")
         before, entity = entity, _merged(entity, edges)
-        fresh = cut_lineage(entity.join(before.withColumnRenamed("entity", "_was"), "node").filter("entity != _was").select("entity").distinct())
     return entity.select(F.col("node").alias(key), "entity")
 
 
@@ -279,25 +281,47 @@ def _merged(entity: DataFrame, edges: DataFrame) -> DataFrame:
     return cut_lineage(entity.join(found, "entity", "left").select("node", F.coalesce("component", "entity").alias("entity")))
 
 
-def _alike(profile: DataFrame, fresh: DataFrame | None) -> DataFrame:
-    """Pairs of entities with like names, at least one of them just merged and so richer than when they last met. Blocks
-    hold the entities with family names one error apart; large blocks are split by given name one error or a
-    short form apart, which like names always share."""
-    people = profile.filter("kind in ('p', 'o')").withColumn("cat", F.when(F.col("kind") == "o", F.col("given")).otherwise(""))
-    givens = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "p", F.array_union(F.array("given"), "others")).otherwise(_none()))))
-    entities = people.groupBy("entity", "kind", "cat").agg(givens.alias("given"), F.collect_set("family").alias("family"))
-    sides = F.array(
-        F.struct(F.lit(False).alias("turned"), F.col("family").alias("words"), F.col("given").alias("rest")),
-        F.struct(F.lit(True).alias("turned"), F.col("given").alias("words"), F.col("family").alias("rest")),
-    )
-    words = entities.select("entity", F.concat_ws("|", "kind", "cat").alias("key"), F.explode(sides).alias("s")).select("entity", "key", "s.turned", "s.rest", F.explode("s.words").alias("word"))
-    keyed = words.select("entity", "turned", "rest", F.explode(_less(F.col("word"))).alias("word"), "key").select("entity", "turned", "rest", F.concat_ws("|", "key", "word").alias("key"))
+def _people(owned: DataFrame) -> DataFrame:
+    """Forms of people and organisations: ``cat`` is an organisation's kind, ``names`` what stands for a person's given name."""
+    people = owned.filter("kind in ('p', 'o')")
+    return people.select(
+        F.col("owner").alias("node"), "kind", F.when(F.col("kind") == "o", F.col("given")).otherwise("").alias("cat"), "family",
+        F.when(F.col("kind") == "p", F.array_union(F.array("given"), "others")).otherwise(_none()).alias("names"),
+    )
+
+
+def _block_keys(owned: DataFrame) -> DataFrame:
+    """``node, turned, key`` of each form: its family name and, turned, its given names, each with one letter less."""
+    sides = F.array(F.struct(F.lit(False).alias("turned"), F.array("family").alias("words")), F.struct(F.lit(True).alias("turned"), F.col("names").alias("words")))
+    words = _people(owned).select("node", F.concat_ws("|", "kind", "cat").alias("key"), F.inline(sides)).select("node", "key", "turned", F.explode("words").alias("word"))
+    return words.distinct().select("node", "turned", F.explode(_less(F.col("word"))).alias("word"), "key").select("node", "turned", F.concat_ws("|", "key", "word").alias("key"))
+
+
+def _richer(owned: DataFrame, before: DataFrame, entity: DataFrame) -> DataFrame:
+    """Entities just merged of several whose profile has more pairs of a family and a given name than were written, so
+    that it can match what none of its forms did: those with several of both."""
+    was = before.select("node", F.col("entity").alias("_was"))
+    each = _people(owned).join(entity, "node").join(was, "node").groupBy("entity", "kind", "cat")
+    many = each.agg(F.countDistinct("_was").alias("_n"), F.countDistinct("family").alias("_f"), F.countDistinct("names").alias("_g"))
+    return many.filter("_n > 1 and _f > 1 and _g > 1").select("entity").distinct()
+
+
+def _alike(owned: DataFrame, keys: DataFrame, entity: DataFrame, fresh: DataFrame | None) -> DataFrame:
+    """Pairs of entities with like names, at least one of them ``fresh`` (richer than when they last met) where that is
+    given. Blocks hold the entities with family names one error apart; large blocks are split by given name one error
+    apart, which like names always share."""
     if fresh is not None:
-        keyed = keyed.join(keyed.join(fresh, "entity", "left_semi").select("key").distinct(), "key", "left_semi")
-    keyed = cut_lineage(keyed)
+        fresh = cut_lineage(fresh)
+        n_fresh = fresh.count()
+        if not n_fresh:
+            return fresh.select(F.col("entity").alias("a"), F.col("entity").alias("b"))
+        new = lambda side: F.broadcast(fresh.withColumnRenamed("entity", side)) if n_fresh <= MOST_BROADCAST else fresh.withColumnRenamed("entity", side)
+        keys = keys.join(keys.join(entity.join(new("entity"), "entity", "left_semi"), "node", "left_semi").select("key").distinct(), "key", "left_semi")
+    keyed = cut_lineage(keys.join(entity, "node").select("entity", "turned", "key").distinct())
     # given names only meet family names: of two turned ones, the families meet as well
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("turned").alias("_turned")).filter("n > 1 and not _turned").drop("_turned")
-    keyed = keyed.join(sizes, "key")
+    profile = _people(owned).join(entity, "node").groupBy("entity").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("_g"), F.collect_set("family").alias("_f"))
+    keyed = keyed.join(sizes, "key").join(profile, "entity").select("entity", "turned", "key", "n", F.when(F.col("turned"), F.col("_f")).otherwise(F.col("_g")).alias("rest"))
     large = keyed.filter((F.col("n") > LARGE_BLOCK) & (F.size("rest") > 0)).select("entity", "turned", "rest", "key", F.explode("rest").alias("given"))
     large = large.select("entity", "turned", "rest", "key", F.explode(_less(F.col("given"))).alias("given")).select("entity", "turned", "rest", F.concat_ws("|", "key", "given").alias("key"))
     blocks = keyed.filter((F.col("n") <= LARGE_BLOCK) | (F.size("rest") == 0)).select("entity", "turned", "rest", "key").unionByName(large)
@@ -305,11 +329,10 @@ def _alike(profile: DataFrame, fresh: DataFrame | None) -> DataFrame:
     one, other = (blocks.select(F.col("entity").alias(e), F.col("rest").alias(r), F.col("turned").alias(f"turned_{e}"), "key") for e, r in ("ax", "by"))
     pairs = one.join(other, "key").filter("a < b and not (turned_a and turned_b)").filter(near_given).select("a", "b").distinct()
     if fresh is not None:
-        new = F.broadcast(fresh) if fresh.count() <= MOST_BROADCAST else fresh
-        flags = [new.select(F.col("entity").alias(s), F.lit(True).alias(f"_new_{s}")) for s in "ab"]
+        flags = [new(s).withColumn(f"_new_{s}", F.lit(True)) for s in "ab"]
         pairs = pairs.join(flags[0], "a", "left").join(flags[1], "b", "left").filter("_new_a or _new_b").select("a", "b")
     for s in "ab":
-        pairs = pairs.join(entities.groupBy(F.col("entity").alias(s)).agg(F.flatten(F.collect_list("given")).alias(f"_g{s}"), F.flatten(F.collect_list("family")).alias(f"_f{s}")), s)
+        pairs = pairs.join(profile.select(F.col("entity").alias(s), F.col("_g").alias(f"_g{s}"), F.col("_f").alias(f"_f{s}")), s)
     return pairs.filter(F.pandas_udf(_match, "boolean")("_ga", "_fa", "_gb", "_fb")).select("a", "b")
 
 
