@@ -3,7 +3,8 @@
 Texts are reduced to their letters and digits, regardless of case. A seed is a fixed mask over a window of
 characters that ignores some of them; hashes of all windows of the passages are joined with those of all windows
 of the corpus. Where only exact runs count, every n-th window of the corpus does, n being small enough that no
-run of the wanted length slips through. Around each hit the overlap is then measured, exactly and with substitutions.
+run of the wanted length slips through. Documents with hits are kept whole; each diagonal on which they meet a passage
+is then measured from end to end, exactly and with substitutions.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from larkspur.session import cut_lineage
 #: characters with 1 substitution, 52 with 2 and 60 with 3, wherever those are.
 MASKS = ("111011011101101110110111", "110111100111101101111011")
 SPAN = len(MASKS[0])
-#: Characters kept on both sides of a hit, to measure the overlap there.
-CONTEXT = 160
 #: Characters whose windows are hashed at once in a task.
 SLICE = 1 << 18
 #: So many hashes of passages (8 bytes each) are handed to every task at once.
@@ -97,22 +96,21 @@ def _reduced(texts: pd.Series) -> pd.Series:
 
 
 def _hits(batches: Iterator[pa.RecordBatch], step: int, wanted: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Windows of the corpus whose hashes are wanted, with what is around them: ``key, _hash, _before, _window, _after``."""
+    """Texts of the corpus with windows whose hashes are wanted: ``key, _letters, _found`` with all those windows."""
     sieve = _sieve(wanted)
     for batch in batches:
         letters, bounds = reduced(batch.column(1).to_pylist())
         found = [x for mask in range(len(MASKS)) for x in _wanted_windows(letters, bounds, step, mask, wanted, sieve)]
         at, owner, hashes = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(3))
-        if not len(at):
-            continue
-        begin, end = bounds[:-1][owner], bounds[1:][owner]
-        text = letters.astype("<i4").tobytes().decode("utf-32-le", "surrogatepass")
-        rows = [
-            (text[max(b, a - CONTEXT) : a], text[a : a + SPAN], text[a + SPAN : min(e, a + SPAN + CONTEXT)])
-            for a, b, e in zip(at.tolist(), begin.tolist(), end.tolist())
-        ]
-        columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(hashes), *columns], schema=schema)
+        order = np.argsort(owner, kind="stable")
+        at, owner, hashes = at[order], owner[order], hashes[order]
+        texts, begins = np.unique(owner, return_index=True)
+        for text, begin, end in zip(texts.tolist(), begins.tolist(), [*begins[1:].tolist(), len(owner)]):
+            first, last = bounds[text], bounds[text + 1]
+            whole = letters[first:last].astype("<i4").tobytes().decode("utf-32-le", "surrogatepass")
+            windows_found = pa.StructArray.from_arrays([pa.array(hashes[begin:end]), pa.array(at[begin:end] - first)], fields=list(schema.field(2).type.value_type))
+            lists = pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), windows_found).cast(schema.field(2).type)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(text, 1), pa.array([whole], pa.string()), lists], schema=schema)
 
 
 def _wanted_windows(letters: np.ndarray, bounds: np.ndarray, step: int, mask: int, wanted: np.ndarray, sieve: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -151,48 +149,55 @@ def _among(hashes: np.ndarray, wanted: np.ndarray, sieve: np.ndarray) -> np.ndar
     return out
 
 
-def _side(doc: str, item: str, backwards: bool) -> tuple[int, int, int]:
-    """How far two texts agree exactly from the hit on, how far with substitutions, and how many those are."""
-    if backwards:
-        doc, item = doc[::-1], item[::-1]
+def _reach(differ: np.ndarray, n: int) -> tuple[int, int]:
+    """How far two texts of ``n`` characters agree from their start on, with substitutions at the places ``differ``, and
+    how many of those are within that reach: fewer than GAP in a row, and no more than two or DENSITY of what was passed."""
+    ends = np.append(differ[1:], n)
+    used = np.arange(1, len(differ) + 1)
+    reach = np.concatenate([[differ[0] if len(differ) else n], ends])
+    last_good = np.maximum.accumulate(np.where(np.concatenate([[True], ends > differ + 1]), reach, 0))
+    stop = (differ - last_good[:-1] >= GAP) | (used > np.maximum(2, DENSITY * (ends + 1)))
+    stopped = int(np.argmax(stop)) if stop.any() else len(differ)
+    good = np.flatnonzero(np.concatenate([[True], ends > differ + 1])[: stopped + 1])[-1]
+    return int(reach[good]), int(good)
+
+
+def measured(doc: np.ndarray, item: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int]]:
+    """Along one diagonal, both texts from its start on: longest exact run, and from the first window of ``hits`` that no
+    overlap covers yet on to both sides the length with substitutions and their number, for each overlap."""
     n = min(len(doc), len(item))
-    differ = [k for k in range(n) if doc[k] != item[k]]
-    exact = differ[0] if differ else n
-    reach, used = exact, 0
-    for k, (place, following) in enumerate(zip(differ, [*differ[1:], n]), 1):
-        if place - reach >= GAP or k > max(2, DENSITY * (following + 1)):
-            break
-        if following > place + 1:
-            reach, used = following, k
-    return exact, reach, used
-
-
-def overlap(doc: tuple[str, str, str], item: tuple[str, str, str]) -> tuple[int, int, int]:
-    """Longest exact run through or beside the window, length with substitutions, substitutions."""
-    left, right = _side(doc[0], item[0], True), _side(doc[2], item[2], False)
-    same = [a == b for a, b in zip(doc[1], item[1])]
-    run, best = left[0], 0
-    for s in same:
-        run = run + 1 if s else 0
-        best = max(best, run)
-    best = max(best, run + right[0], left[0])
-    return best, left[1] + len(same) + right[1], left[2] + right[2] + same.count(False)
+    differ = np.flatnonzero(doc[:n] != item[:n])
+    exact = int(np.diff(np.concatenate([[-1], differ, [n]])).max()) - 1
+    out, covered = [], 0
+    for hit in np.sort(hits).tolist():
+        if hit + SPAN <= covered:
+            continue
+        left, wrong_left = _reach(hit - 1 - differ[differ < hit][::-1], hit)
+        after = hit + SPAN
+        right, wrong_right = _reach(differ[differ >= after] - after, n - after)
+        inside = int(((differ >= hit) & (differ < after)).sum())
+        covered = after + right
+        out.append((exact, left + SPAN + right, wrong_left + inside + wrong_right))
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
 
 def _measure(batches: Iterator[pd.DataFrame], key: str, item: str) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [
-            overlap((before, window, after), (whole[max(0, at - CONTEXT) : at], whole[at : at + SPAN], whole[at + SPAN : at + SPAN + CONTEXT]))
-            for before, window, after, whole, at in zip(b._before, b._window, b._after, b._whole, b._at)
-        ]
-        columns = {c: [f[k] for f in found] for k, c in enumerate(("exact", "overlap", "substitutions"))}
-        yield pd.DataFrame({key: b[key], item: b[item]} | columns)
+        rows = []
+        for k, i, text, whole, shift, hits in zip(b[key], b[item], b._letters, b._whole, b._shift, b._hits):
+            doc, own = _points(text[max(0, shift) :]), _points(whole[max(0, -shift) :])
+            rows += [(k, i, *found) for found in measured(doc, own, np.asarray(hits) - max(0, shift))]
+        yield pd.DataFrame(rows, columns=[key, item, "exact", "overlap", "substitutions"])
 
 
 def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, least: int = 40, tolerant: bool = True) -> DataFrame:
     """Rows ``key, item, exact, overlap, substitutions``: per pair of document and item the longest exact run of letters
-    and digits around their common seeds (at most 2 * CONTEXT + SPAN are looked at) and the longest overlap with
-    substitutions. Every pair with ``least`` letters or digits in a row is among them and, where ``tolerant``, every pair
+    and digits on the diagonals of their common seeds and the longest overlap with substitutions, both of any length.
+    Every pair with ``least`` letters or digits in a row is among them and, where ``tolerant``, every pair
     with a window in common by one of the masks (see there what they guarantee), however it lies in the document.
 
     ``least`` must be at least SPAN. Null, empty and short texts or passages give no rows; a document or item
@@ -206,22 +211,25 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: s
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((corpus, key), (items, item))}
 
     passages = items.select(F.col(item), F.col(passage).alias("_text")).filter(F.char_length("_text") >= SPAN)
-    test = _in_arrow(passages, _test_seeds, f"`{item}` {kind[item]}, _hash bigint, _at bigint")
+    test = cut_lineage(_in_arrow(passages, _test_seeds, f"`{item}` {kind[item]}, _hash bigint, _at bigint").distinct())
     whole = passages.select(item, F.pandas_udf(_reduced, "string")("_text").alias("_whole")).dropDuplicates([item])
     texts = corpus.select(F.col(key), F.col(text).alias("_text")).filter(F.char_length("_text") >= SPAN)
 
-    hashes = cut_lineage(test.select("_hash").distinct())
+    hashes = test.select("_hash").distinct()
     blocks = max(1, math.ceil(hashes.count() / MOST_BROADCAST))
-    hits = None
+    touched = None
     for block in range(blocks):
         own = hashes.filter(F.pmod("_hash", F.lit(blocks)) == block).toPandas()["_hash"]
         wanted = np.sort(own.to_numpy(np.int64))
         some = _in_arrow(
             texts, lambda b, schema, w=wanted: _hits(b, step, w, schema),
-            f"`{key}` {kind[key]}, _hash bigint, _before string, _window string, _after string",
+            f"`{key}` {kind[key]}, _letters string, _found array<struct<_hash:bigint,_place:bigint>>",
         )
-        hits = some if hits is None else hits.unionByName(some)
-    both = hits.join(test, "_hash").join(whole, item)
+        touched = some if touched is None else touched.unionByName(some)
+    touched = cut_lineage(touched.withColumn("_row", F.monotonically_increasing_id()))
+    met = touched.select("_row", F.inline("_found")).join(test, "_hash")
+    diagonals = met.groupBy("_row", item, (F.col("_place") - F.col("_at")).alias("_shift")).agg(F.collect_set("_place").alias("_hits"))
+    both = diagonals.join(touched.select(key, "_letters", "_row"), "_row").join(whole, item).select(key, item, "_letters", "_whole", "_shift", "_hits")
     out = f"`{key}` {kind[key]}, `{item}` {kind[item]}, exact bigint, overlap bigint, substitutions bigint"
     found = both.mapInPandas(lambda b: _measure(b, key, item), out)
     best = F.max(F.struct(F.col("overlap"), (-F.col("substitutions")).alias("same")))

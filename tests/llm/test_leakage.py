@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from larkspur.llm import leakage
 from larkspur.llm.leakage import find_leaks
 
 
@@ -59,6 +60,47 @@ def test_near_copies_at_all_alignments(spark):
     assert not [w for w in want if found.get(w[:2], 0) < w[2]]
 
 
+def test_overlaps_of_any_length(spark):
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("abcdefghijklm") for _ in range(n))
+    passage = some(3000)
+    changed = "".join("z" if k % 50 == 20 else c for k, c in enumerate(passage))
+    docs = {1: some(500) + passage + some(500), 2: passage[700:1900], 3: some(90) + changed + some(20), 4: passage[:900] + some(700) + passage[1500:]}
+    corpus = spark.createDataFrame(list(docs.items()) * 2, "doc_id int, text string")
+    found = {x.doc_id: x for x in find_leaks(corpus, "doc_id", "text", spark.createDataFrame([(0, passage)], "item_id int, passage string"), "item_id", "passage").collect()}
+
+    def longest(a: str, b: str) -> int:
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [row[k] + 1 if x == y else 0 for k, y in enumerate(b)]
+            best = max(best, *row)
+        return best
+
+    assert {k: found[k].exact for k in docs} == {k: longest(t, passage) for k, t in docs.items()}
+    assert {k: found[k].exact for k in (1, 2, 4)} == {1: found[1].exact, 2: 1200, 4: found[4].exact} and found[1].exact >= 3000 and found[4].exact >= 1500
+    assert 2980 <= found[3].overlap <= 3010 and 59 <= found[3].substitutions <= 62 and found[1].overlap >= 3000
+
+
+def test_measuring_against_a_plain_walk():
+    import numpy as np
+
+    def walk(doc, item):
+        differ = [k for k in range(len(doc)) if doc[k] != item[k]]
+        reach, used = (differ[0] if differ else len(doc)), 0
+        for k, (place, following) in enumerate(zip(differ, [*differ[1:], len(doc)]), 1):
+            if place - reach >= leakage.GAP or k > max(2, leakage.DENSITY * (following + 1)):
+                break
+            if following > place + 1:
+                reach, used = following, k
+        return reach, used
+
+    r = random.Random(5)
+    for size in [*range(60), *[200] * 40]:
+        share = r.choice([0.02, 0.1, 0.3])
+        doc, item = np.zeros(size, int), np.array([int(r.random() < share) for _ in range(size)], int)
+        assert leakage._reach(np.flatnonzero(doc != item), size) == walk(doc, item)
+
+
 def test_no_rows(spark):
     docs, items = spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame([], "item_id int, passage string")
     assert find_leaks(docs, "doc_id", "text", items, "item_id", "passage").count() == 0
