@@ -1,9 +1,10 @@
 """Cutting oversized texts and files at natural boundaries, by ranges of bytes.
 
 A text is looked at in ranges of some ten thousand bytes. Each range is handed out with a halo of the bytes
-around it, so that a worker finds its boundaries and pieces alone; the small table of range lengths is then
-stitched: prefix sums of the characters place every piece in its text, and runs without a boundary are
-joined across ranges. No worker holds more of a file than a range and its halos.
+around it, so that a worker finds its boundaries alone; the small table of their numbers and lengths, without
+any text, is then stitched: prefix sums of the characters place every piece in its text, and runs without a
+boundary are joined across ranges. The pieces that were found are emitted at the places that this table gives.
+No worker holds more of a file than a range and its halos.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LIMIT, OVERLAP, RANGE_BYTES = 1200, 120, 64 * 1024
+from larkspur.session import cut_lineage
+
+LIMIT, OVERLAP, RANGE_BYTES = 1200, 120, 8 * 1200
 
 #: What may end a piece, best first: a paragraph, a line, a sentence, white space.
 BOUNDARIES = [re.compile(p) for p in (r"\n\s*\n", r"\n", r"[.!?](?=\s)|[。！？]", r"\s|[.!?]")]
@@ -26,7 +29,7 @@ TAIL = re.compile("[\u0300-\u036f\u1ab0-᫿\u1dc0-\u1dff\u200d\u20d0-⃿\ufe00-\
 
 RANGE = "_range int, _ranges int, _before binary, _body binary, _after binary"
 PIECES = (
-    "_range int, _ranges int, _chars bigint, _lead bigint, _inner bigint, _trail bigint, "
+    "_range int, _chars bigint, _lead bigint, _inner bigint, _trail bigint, "
     "_pieces array<struct<start:bigint,end:bigint,text:string>>"
 )
 
@@ -96,6 +99,12 @@ def _aligned(raw: bytes, at: int) -> int:
     return at
 
 
+def _halo(limit: int, overlap: int) -> int:
+    """Bytes beside a range in which its seams and the pieces that begin there are found: a seam lies up to half a
+    piece before the edge, and what it repeats before that."""
+    return 4 * (limit // 2 + overlap + 64)
+
+
 def _ranges_of_texts(batches: Iterator[pd.DataFrame], keys: list[str], range_bytes: int, halo: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -129,29 +138,29 @@ def _detect(batches: Iterator[pd.DataFrame], keys: list[str], limit: int, overla
         for *key, k, n, before, body, after in batch.itertuples(index=False, name=None):
             left, text, right = (bytes(x).decode("utf-8", "replace") for x in (before, body, after))
             pieces = range_pieces(left, text, right, k == 0, k == n - 1, limit, overlap)
-            rows.append((*key, k, n, len(text), *runs(text), [dict(zip(("start", "end", "text"), p)) for p in pieces]))
-        yield pd.DataFrame(rows, columns=[*keys, "_range", "_ranges", "_chars", "_lead", "_inner", "_trail", "_pieces"])
+            rows.append((*key, k, len(text), *runs(text), [dict(zip(("start", "end", "text"), p)) for p in pieces]))
+        yield pd.DataFrame(rows, columns=[*keys, "_range", "_chars", "_lead", "_inner", "_trail", "_pieces"])
 
 
 def _stitched(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds to the ranges of texts with several of them: the characters and pieces before each (prefix sums) and the
-    longest stretch without a boundary that ends in it, joined across whole ranges."""
+    """Of the table of ranges, which holds no text: the characters and pieces before each (prefix sums), and in ``_most``
+    the text's longest stretch without a boundary, joined across whole ranges."""
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.col("_lead") == F.col("_chars")
     base = F.coalesce(F.sum("_chars").over(earlier), F.lit(0))
-    ranges = ranges.withColumn("_base", base).withColumn("_count", F.coalesce(F.sum(F.size("_pieces")).over(earlier), F.lit(0)))
+    ranges = ranges.withColumn("_base", base).withColumn("_count", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     opened = F.last(F.when(~whole, F.col("_base") + F.col("_chars") - F.col("_trail")), ignorenulls=True).over(earlier)
     joined = F.col("_base") + F.col("_lead") - F.coalesce(opened, F.lit(0))
-    return ranges.withColumn("_longest", F.greatest(joined, "_inner", "_trail"))
+    longest = F.max(F.greatest(joined, "_inner", "_trail")).over(Window.partitionBy(*keys))
+    return ranges.select(*keys, "_range", "_base", "_count", longest.alias("_most"))
 
 
-def _emitted(one: DataFrame, more: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Pieces by their places: of texts with one range, and of those that need stitching."""
-    longest = F.greatest("_lead", "_inner", "_trail")
-    one = one.withColumns({"_base": F.lit(0), "_count": F.lit(0), "_longest": longest, "_most": longest})
-    more = _stitched(more, keys).withColumn("_most", F.max("_longest").over(Window.partitionBy(*keys)))
-    piece = F.posexplode("_pieces").alias("_pos", "_piece")
-    return one.unionByName(more).select(*keys, "_base", "_count", "_most", piece).select(
+def _emitted(detected: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The pieces of all ranges at their places in the text."""
+    detected = cut_lineage(detected)
+    table = detected.select(*keys, "_range", "_chars", "_lead", "_inner", "_trail", F.size("_pieces").alias("_n"))
+    placed = detected.select(*keys, "_range", "_pieces").join(_stitched(table, keys), [*keys, "_range"])
+    return placed.select(*keys, "_base", "_count", "_most", F.posexplode("_pieces").alias("_pos", "_piece")).select(
         *keys,
         (F.col("_count") + F.col("_pos")).cast("bigint").alias("piece"),
         (F.col("_base") + F.col("_piece.start")).alias("start"),
@@ -174,24 +183,18 @@ def split_texts(items: DataFrame, keys: list[str], text: str, limit: int = LIMIT
     characters holds neither white space nor the end of a sentence. Null, empty and shorter texts give no
     rows; an empty table gives none; other columns are ignored whatever their names.
     """
-    halo = 8 * limit
+    halo = _halo(limit, overlap)
     range_bytes = max(range_bytes, 8 * limit)
     long = items.select(*keys, F.col(text).alias("_text")).filter(F.char_length("_text") > limit)
     kinds = _kinds(items, keys)
-
-    def found(rows: DataFrame, spread: bool) -> DataFrame:
-        ranges = rows.mapInPandas(lambda b: _ranges_of_texts(b, keys, range_bytes, halo), kinds + RANGE)
-        ranges = ranges.repartition(*keys, "_range") if spread else ranges
-        return ranges.mapInPandas(lambda b: _detect(b, keys, limit, overlap), kinds + PIECES)
-
-    fits = F.octet_length("_text") <= range_bytes
-    return _emitted(found(long.filter(fits), False), found(long.filter(~fits), True), keys, limit)
+    ranges = long.mapInPandas(lambda b: _ranges_of_texts(b, keys, range_bytes, halo), kinds + RANGE)
+    return _emitted(ranges.mapInPandas(lambda b: _detect(b, keys, limit, overlap), kinds + PIECES), keys, limit)
 
 
 def split_files(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 1 << 20) -> DataFrame:
     """The same for the UTF-8 files of a folder that all executors share; columns as above with ``path`` as key. Only
     names and sizes are listed first; each task opens a file at its range. Shorter files give no rows."""
-    halo = 8 * limit
+    halo = _halo(limit, overlap)
     range_bytes = max(range_bytes, 8 * limit)
     listed = spark.read.format("binaryFile").load(folder).select("path", "length").filter(F.col("length") > limit)
     count = F.ceil(F.col("length") / range_bytes).cast("int")
@@ -199,10 +202,9 @@ def split_files(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: i
     rows = listed.select(path.alias("path"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"), count.alias("n"), "length")
     rows = rows.repartition("path", "k")
     ranges = rows.mapInPandas(lambda b: _ranges_of_files(b, range_bytes, halo), "path string, " + RANGE)
-    found = ranges.mapInPandas(lambda b: _detect(b, ["path"], limit, overlap), "path string, " + PIECES)
-    pieces = _emitted(found.filter("_ranges = 1"), found.filter("_ranges > 1"), ["path"], limit)
-    total = F.max("end").over(Window.partitionBy("path"))
-    return pieces.withColumn("_total", total).filter(F.col("_total") > limit).drop("_total")
+    pieces = _emitted(ranges.mapInPandas(lambda b: _detect(b, ["path"], limit, overlap), "path string, " + PIECES), ["path"], limit)
+    long = pieces.groupBy("path").agg(F.max("end").alias("_total")).filter(F.col("_total") > limit)
+    return pieces.join(long.select("path"), "path", "left_semi")
 
 
 def oversized(pieces: DataFrame, keys: list[str]) -> DataFrame:
