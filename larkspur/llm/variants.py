@@ -103,7 +103,7 @@ def _kind_of(word: str, dotted: bool) -> str | None:
 def read_form(spelling: str, romanised: bool = True) -> tuple[str, str, list[str], str]:
     """``kind, given, others, family``: p a person, i one with an initial or less, o an organisation, r a romanised name
     (its syllables in ``others``), x and h a string that means only itself, the latter made up, and an empty
-    kind for what names nobody. Without ``romanised`` the words of a romanised name are read like others."""
+    kind for what names nobody. Without ``romanised`` such a name is q, its last word a family name and the rest a given one."""
     text = folded(spelling)
     plain = text.lower().strip(" .,")
     if not plain or plain in ROLES or plain.removeprefix("the ") in ROLES:
@@ -135,10 +135,10 @@ def read_form(spelling: str, romanised: bool = True) -> tuple[str, str, list[str
     full = [w for w in words if len(w) > 1]
     if not full:
         return "", "", [], ""
-    if romanised and len(words) > 1 and all(re.fullmatch(f"(?:{SYLLABLE.pattern})+", w) for w in words):
+    if len(words) > 1 and all(re.fullmatch(f"(?:{SYLLABLE.pattern})+", w) for w in words):
         syllables = [x for w in ([*words[-1:], *words[:-1]] if comma else words) for x in SYLLABLE.findall(w)]
         if len(syllables) <= 4:
-            return "r", "", syllables, " ".join(sorted(syllables))
+            return ("r", "", syllables, " ".join(sorted(syllables))) if romanised else ("q", "".join(words[:-1]), [], words[-1])
     family = full[-1]
     if len(full) > 1:
         return "p", full[0], others, family
@@ -152,7 +152,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         spelled = [(s, read_form(s)) for s in batch["spelling"]]
         # what could be a romanised name could also be any other, such as Lena Wang
-        spelled += [(s, other) for s, form in spelled if form[0] == "r" and (other := read_form(s, False))[0] == "p"]
+        spelled += [(s, read_form(s, False)) for s, form in spelled if form[0] == "r"]
         out = pd.DataFrame([form for _, form in spelled], columns=["kind", "given", "others", "family"])
         out["others"] = [sorted({*o, *(f for g in (given, *o) for f in full.get(g, ()))} - {given}) if kind == "p" else o for kind, given, o in zip(out.kind, out.given, out.others)]
         out.insert(0, "spelling", [s for s, _ in spelled])
@@ -258,14 +258,20 @@ def link_variants(nodes: DataFrame, key: str, name: str, aliases: str, most_roun
     whole = forms.filter("kind != 'i'").withColumn("_form", F.concat_ws("|", F.col("kind"), F.array_sort(F.array("given", "family"))))
     whole = cut_lineage(whole.join(whole.groupBy("_form").agg(F.min("node").alias("owner")), "_form"))
     exact = whole.select(F.col("node").alias("a"), F.col("owner").alias("b")).filter("a != b")
-    owned = cut_lineage(whole.select("owner", "kind", "given", "others", "family").distinct())
+    owned = whole.select("owner", "kind", "given", "others", "family").distinct()
+    owned = cut_lineage(owned.filter("kind in ('p', 'o', 'q')").withColumn("form", F.monotonically_increasing_id()))
     keys = cut_lineage(_block_keys(owned))
 
-    owners = owned.select(F.col("owner").alias("node"), F.col("owner").alias("entity")).distinct()
-    edges = exact.unionByName(_alike(owned, keys, owners, None))
-    before, entity = owners, _merged(everyone.select("node", F.col("node").alias("entity")), edges)
+    # single forms first, then what has been merged
+    alone = _alike(owned, keys, owned.select("form", F.col("form").alias("entity")), None)
+    for s in "ab":
+        alone = alone.join(owned.select(F.col("form").alias(s), F.col("owner").alias(f"_{s}")), s)
+    edges = exact.unionByName(alone.select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a != b"))
+    owned = owned.filter("kind != 'q'")
+    before, entity = owned.select(F.col("owner").alias("node"), F.col("owner").alias("entity")).distinct(), _merged(everyone.select("node", F.col("node").alias("entity")), edges)
     for done in count():
-        edges = cut_lineage(_alike(owned, keys, entity, _richer(owned, before, entity)))
+        member = owned.select("form", F.col("owner").alias("node")).join(entity, "node").select("form", "entity")
+        edges = cut_lineage(_alike(owned, keys, member, _richer(owned, before, entity)))
         if edges.isEmpty():
             edges = cut_lineage(_by_initial(forms.join(entity, "node").select("entity", "kind", "given", "others", "family").distinct()))
         if edges.isEmpty():
@@ -282,52 +288,55 @@ def _merged(entity: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _people(owned: DataFrame) -> DataFrame:
-    """Forms of people and organisations: ``cat`` is an organisation's kind, ``names`` what stands for a person's given name."""
-    people = owned.filter("kind in ('p', 'o')")
-    return people.select(
-        F.col("owner").alias("node"), "kind", F.when(F.col("kind") == "o", F.col("given")).otherwise("").alias("cat"), "family",
-        F.when(F.col("kind") == "p", F.array_union(F.array("given"), "others")).otherwise(_none()).alias("names"),
+    """Forms of people and organisations: ``cat`` is an organisation's kind, ``names`` what stands for a person's given name,
+    ``weak`` a romanised name read like others."""
+    return owned.select(
+        "form", F.col("owner").alias("node"), (F.col("kind") == "q").alias("weak"), F.when(F.col("kind") == "o", F.concat(F.lit("o|"), "given")).otherwise("p|").alias("cat"), "family",
+        F.when(F.col("kind") == "o", _none()).otherwise(F.array_union(F.array("given"), "others")).alias("names"),
     )
 
 
 def _block_keys(owned: DataFrame) -> DataFrame:
-    """``node, turned, key`` of each form: its family name and, turned, its given names, each with one letter less."""
+    """``form, turned, key``: the form's family name and, turned, its given names, each with one letter less."""
     sides = F.array(F.struct(F.lit(False).alias("turned"), F.array("family").alias("words")), F.struct(F.lit(True).alias("turned"), F.col("names").alias("words")))
-    words = _people(owned).select("node", F.concat_ws("|", "kind", "cat").alias("key"), F.inline(sides)).select("node", "key", "turned", F.explode("words").alias("word"))
-    return words.distinct().select("node", "turned", F.explode(_less(F.col("word"))).alias("word"), "key").select("node", "turned", F.concat_ws("|", "key", "word").alias("key"))
+    words = _people(owned).select("form", "cat", F.inline(sides)).select("form", "cat", "turned", F.explode("words").alias("word"))
+    return words.distinct().select("form", "turned", F.explode(_less(F.col("word"))).alias("word"), "cat").select("form", "turned", F.concat_ws("|", "cat", "word").alias("key"))
 
 
 def _richer(owned: DataFrame, before: DataFrame, entity: DataFrame) -> DataFrame:
     """Entities just merged of several whose profile has more pairs of a family and a given name than were written, so
     that it can match what none of its forms did: those with several of both."""
     was = before.select("node", F.col("entity").alias("_was"))
-    each = _people(owned).join(entity, "node").join(was, "node").groupBy("entity", "kind", "cat")
+    each = _people(owned).join(entity, "node").join(was, "node").groupBy("entity", "cat")
     many = each.agg(F.countDistinct("_was").alias("_n"), F.countDistinct("family").alias("_f"), F.countDistinct("names").alias("_g"))
     return many.filter("_n > 1 and _f > 1 and _g > 1").select("entity").distinct()
 
 
-def _alike(owned: DataFrame, keys: DataFrame, entity: DataFrame, fresh: DataFrame | None) -> DataFrame:
-    """Pairs of entities with like names, at least one of them ``fresh`` (richer than when they last met) where that is
-    given. Blocks hold the entities with family names one error apart; large blocks are split by given name one error
-    apart, which like names always share."""
+def _alike(owned: DataFrame, keys: DataFrame, member: DataFrame, fresh: DataFrame | None) -> DataFrame:
+    """Pairs of entities (``member`` has the ``entity`` of each ``form``) with like names, at least one of them ``fresh``
+    (richer than when they last met) where that is given. Blocks hold the entities with family names one error apart; large blocks
+    are split by given name one error apart, which like names always share. Two romanised names are never alike but equal."""
     if fresh is not None:
         fresh = cut_lineage(fresh)
         n_fresh = fresh.count()
         if not n_fresh:
             return fresh.select(F.col("entity").alias("a"), F.col("entity").alias("b"))
         new = lambda side: F.broadcast(fresh.withColumnRenamed("entity", side)) if n_fresh <= MOST_BROADCAST else fresh.withColumnRenamed("entity", side)
-        keys = keys.join(keys.join(entity.join(new("entity"), "entity", "left_semi"), "node", "left_semi").select("key").distinct(), "key", "left_semi")
-    keyed = cut_lineage(keys.join(entity, "node").select("entity", "turned", "key").distinct())
+        keys = keys.join(keys.join(member.join(new("entity"), "entity", "left_semi"), "form", "left_semi").select("key").distinct(), "key", "left_semi")
+    everyone = _people(owned).join(member, "form").groupBy("entity")
+    profile = cut_lineage(everyone.agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("_g"), F.collect_set("family").alias("_f"), F.bool_and("weak").alias("weak")))
+    keyed = keys.join(member, "form").select("entity", "turned", "key").distinct().join(profile, "entity")
+    keyed = cut_lineage(keyed.select("entity", "turned", "weak", "key", F.when(F.col("turned"), F.col("_f")).otherwise(F.col("_g")).alias("rest")))
     # given names only meet family names: of two turned ones, the families meet as well
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("turned").alias("_turned")).filter("n > 1 and not _turned").drop("_turned")
-    profile = _people(owned).join(entity, "node").groupBy("entity").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("_g"), F.collect_set("family").alias("_f"))
-    keyed = keyed.join(sizes, "key").join(profile, "entity").select("entity", "turned", "key", "n", F.when(F.col("turned"), F.col("_f")).otherwise(F.col("_g")).alias("rest"))
-    large = keyed.filter((F.col("n") > LARGE_BLOCK) & (F.size("rest") > 0)).select("entity", "turned", "rest", "key", F.explode("rest").alias("given"))
-    large = large.select("entity", "turned", "rest", "key", F.explode(_less(F.col("given"))).alias("given")).select("entity", "turned", "rest", F.concat_ws("|", "key", "given").alias("key"))
-    blocks = keyed.filter((F.col("n") <= LARGE_BLOCK) | (F.size("rest") == 0)).select("entity", "turned", "rest", "key").unionByName(large)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("turned").alias("_turned"), F.bool_and("weak").alias("_weak")).filter("n > 1 and not _turned and not _weak")
+    keyed = keyed.join(sizes.select("key", "n"), "key")
+    each = ["entity", "turned", "weak", "rest"]
+    large = keyed.filter((F.col("n") > LARGE_BLOCK) & (F.size("rest") > 0)).select(*each, "key", F.explode("rest").alias("given"))
+    large = large.select(*each, "key", F.explode(_less(F.col("given"))).alias("given")).select(*each, F.concat_ws("|", "key", "given").alias("key"))
+    blocks = keyed.filter((F.col("n") <= LARGE_BLOCK) | (F.size("rest") == 0)).select(*each, "key").unionByName(large)
     near_given = (F.size("x") == 0) | F.exists("x", lambda x: F.exists("y", lambda y: (x == y) | (F.levenshtein(x, y, 2) >= 0)))
-    one, other = (blocks.select(F.col("entity").alias(e), F.col("rest").alias(r), F.col("turned").alias(f"turned_{e}"), "key") for e, r in ("ax", "by"))
-    pairs = one.join(other, "key").filter("a < b and not (turned_a and turned_b)").filter(near_given).select("a", "b").distinct()
+    one, other = (blocks.select(F.col("entity").alias(e), F.col("rest").alias(r), F.col("turned").alias(f"turned_{e}"), F.col("weak").alias(f"weak_{e}"), "key") for e, r in ("ax", "by"))
+    pairs = one.join(other, "key").filter("a < b and not (turned_a and turned_b) and not (weak_a and weak_b)").filter(near_given).select("a", "b").distinct()
     if fresh is not None:
         flags = [new(s).withColumn(f"_new_{s}", F.lit(True)) for s in "ab"]
         pairs = pairs.join(flags[0], "a", "left").join(flags[1], "b", "left").filter("_new_a or _new_b").select("a", "b")
@@ -339,7 +348,7 @@ def _alike(owned: DataFrame, keys: DataFrame, entity: DataFrame, fresh: DataFram
 def _by_initial(profile: DataFrame) -> DataFrame:
     """Entities known only by an initial or family name, each with the only entity that it fits, family names written
     alike before those one error apart; with each other where nobody fits."""
-    known = profile.filter("kind = 'p'")
+    known = profile.filter("kind in ('p', 'q')")
     bare = profile.filter("kind = 'i'").join(profile.filter("kind not in ('i', 'h')").select("entity").distinct(), "entity", "left_anti")
     initials = F.array_union(F.transform(F.array_union(F.array("given"), "others"), lambda g: F.substring(g, 1, 1)), F.array(F.lit("")))
     fitting = known.select("entity", "family", F.explode(F.array_distinct(initials)).alias("given"))
