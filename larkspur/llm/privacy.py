@@ -1,58 +1,85 @@
 """Personal information in free text: candidates, boosted trees, thresholds, placeholders.
 
 Small generators propose every span that might be an email address, phone number, identity number, street
-address or name, with features of its format and of what stands around it; gradient-boosted trees,
-fitted on labelled example sentences, score the spans; a threshold per kind, set on sentences left out of
-the fit, and the best of each group of overlapping spans decide what is redacted.
+address or name: whatever has the form of a number or address, every few capitalised words in a row, every
+sign of a Chinese family name with the next one or two. What stands around a span, lists of names and what its
+words are otherwise used for are features only; gradient-boosted trees, fitted on labelled examples, score the spans; a
+threshold per kind, set on frames left out of the fit, and the best of each group of overlapping spans
+decide what is redacted.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.privacy_examples import examples
+from larkspur.llm.privacy_examples import CJK_GIVEN, COMPOUND, KNOWN_FAMILY, example
 from larkspur.llm.variants import NICKNAMES
+from larkspur.session import cut_lineage
 
 KINDS = ("email", "phone", "id", "address", "name")
-#: Labelled sentences that the trees are fitted on, at most.
-MOST_EXAMPLES = 8000
-#: Given names learnt from a table of people that are handed to every task, at most.
-MOST_GIVEN = 100_000
+#: Labelled texts that the trees are fitted on.
+MOST_EXAMPLES = 6000
+#: Lists of name words up to this size are handed to every task; of longer ones each text gets its own by a join.
+MOST_HANDED = 100_000
+#: Words or signs stand for a given or family name once seen so beside as many others.
+SUPPORT = 3
+#: Words in a row that a candidate for a name may have.
+MOST_WORDS = 3
 
 # Words around personal information, and around numbers and names that are none.
 CUES = {
-    "email": r"mail|inbox|write|send|cc|login|correo|schreib|escribe|écris|信箱|帳號|寄到|sign-up|contact",
-    "phone": r"tel|call|phone|number|fax|text me|whatsapp|mobile|cell|landlord|line|reach|rang|llama|appelle|ruf|numéro|電話|手機|打|撥",
-    "id": r"\bid\b|ident|passport|card|insured|tax|licen[cs]e|clerk|form wants|photo page|renewal|tarjeta|carte|ausweis|dni|nie|證|身分|身份|護照|健保",
-    "address": r"live|lives|house|flat|parcel|deliver|moved|grew up|studio|address|viewing|wohne|besichtigung|paket|livraison|habite|vivo|住|寄到|送|搬|老家",
-    "name": r"\b(?:dr|mr|mrs|ms|prof|herr|frau|señor|señora|mme|coach)\b|best,|yours|regards|warmly|met|dentist|cousin|thanks to|ask|先生|小姐|女士|醫師|老師|教授",
+    "email": r"mail|inbox|reply|answer|subscri|login|account|contact|write|correo|buzón|escr[ií]b|schreib|postfach|adresse|écri|répond|信箱|郵件|帳號|回覆|寄",
+    "phone": r"\btel|phone|call|ring|dial|mobile|\bcell|\bfax|text|whatsapp|sms|hotline|móvil|llam|telef|handy|ruf|anruf|appel|portable|numéro|電話|手機|打|撥|分機|傳真|聯絡",
+    "id": r"\bid\b|identi|passport|licen[cs]e|\btax\b|insur|social|security|document|card|visa|\bdni\b|\bnie\b|pasaporte|tarjeta|ausweis|steuer|versicher|carte|sécurité|護照|身分|身份|證|健保|稅",
+    "address": r"live|living|house|address|office|ship|deliver|move|rent|room|visit|wohn|anschrift|adresse|liefer|vivi|vivo|direcci|envi|habit|livr|住|地址|搬|送|寄|家|公司",
 }
-ANTI = r"\b(?:isbn|trk|tracking|inv|invoice|order|sha|host|grid|model|build|ticket|version|chapter|section|room|floor|locker|route|stop|row|commit|port|info)\b|nt\$|usd|[$€£]|print\(|range\("
+ANTI = r"\b(?:isbn|tracking|trk|parcel|inv|invoice|order|sha|commit|host|ping|grid|model|build|ticket|version|chapter|section|page|room|floor|route|bus|stop|row|port|info|flight|born|from)\b|nt\$|usd|[$€£]|print\(|range\("
 STREETS = "street|st|road|rd|avenue|ave|lane|ln|close|crescent|drive|dr|court|ct|square|sq|terrace|boulevard|blvd|way|row|gardens|hill|grove|place|pl"
-PLACES = set(
-    "library club choir bay street road lane hill station office bridge park school university hospital café cafe town village lake river mountain "
-    "museum theatre hotel market square church airport harbour port"
-    .split()
-) | {s for s in STREETS.split("|") if len(s) > 3}
-BEFORE_PLACES = set("old new radio lake mount saint st the blue red green golden north south east west upper lower fort port san santa".split())
-TITLES = r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Prof|Sir|Herr|Frau|Señora?|Mme|Coach|Professor|Doctor)\.?[ ]+)"
-AMBIGUOUS = set("will con dot sue pat bill rob ana lore mina flo len hal ned drew mel nat dan mark may rose grace jack art dick chuck kit neil wolf art sandy".split())
-SURNAMES = set(
+PLACES = frozenset(
+    "library club choir bay street road lane hill station office bridge park school university college hospital café cafe town city village lake river mountain mount island "
+    "museum theatre theater hotel market square church airport harbour harbor port beach valley coast company ltd inc team league society association avenue bakery radio tower museo calle "
+    "straße platz bahnhof rue marché jardin jardins plaza garden gardens north south east west old new upper lower saint blue red green golden great project day morning book".split()
+)
+#: Words that stand for a person, before a comma or name; after these one may follow.
+RELATIONS = frozenset(
+    "friend colleague boss neighbour neighbor teacher doctor dentist nurse brother sister mother father mom dad mum uncle aunt cousin son daughter wife husband landlord landlady plumber client "
+    "speaker owner coach roommate flatmate partner manager dear hi hello hey freund freundin kollege kollegin nachbar nachbarin bruder schwester amigo amiga hermano hermana vecino ami amie frère sœur voisin "
+    "regards cheers sincerely love yours best warmly thanks by".split()
+)
+TO_PEOPLE = frozenset("with to for from and ask asked met meet saw told called call hired thanked visited gave owe miss believes heard mit von für und con de para y avec pour chez et à hat habe".split())
+TO_PLACES = frozenset("in at near through over around towards toward into of the a an bei nach im am en au aux dans sur la le les el los las der die das den dem".split())
+BY_PEOPLE = frozenset(
+    "said says told tells asked asks called calls came comes went goes will would has had is was and wants wanted gave gives sent sends brought brings left thinks knows likes sings paints never always hat ist war kommt sagt und dijo dice me es era viene y a est dit et habite vient who".split()
+)
+# Words that no name begins or ends with.
+FUNCTION = frozenset(
+    "the a an i we you he she it they my our your his her its their this that these those there here when where while if but and or so then because although as at in on of to from for with without after before since until by about "
+    "what who why how which yes no not nobody everyone everybody everything nothing something someone each every some any all both most later once now today tomorrow yesterday again also just only still very please "
+    "monday tuesday wednesday thursday friday saturday sunday january february april june july august september october november december spring summer autumn winter christmas easter "
+    "der die das ein eine ich wir du er sie es und oder aber wenn mit von für nach am im in montag dienstag mittwoch donnerstag freitag samstag sonntag el la los las un una yo y o pero si con de en le les des un une je nous vous il elle et ou mais si avec dans "
+    "regards cheers sincerely yours dear hi hello best thanks re fw fwd info".split()
+)
+TITLES = r"(?:dr|mr|mrs|ms|miss|prof|sir|herr|frau|señora?|mme|m|coach|professor|doctor)"
+AMBIGUOUS = frozenset("will con dot sue pat bill rob ana lore mina flo len hal ned drew mel nat dan mark may rose grace jack art dick chuck kit neil wolf sandy hope joy dawn".split())
+SURNAMES = frozenset(
     "王李張劉陳楊黃趙吳周徐孫馬朱胡郭何林高羅鄭梁謝宋唐許韓馮鄧曹彭曾蕭田董袁潘蔡蔣余于杜葉程蘇魏呂丁任沈姚盧姜崔鍾譚陸汪范金石廖賈夏韋付方白鄒孟熊秦邱江尹薛閻段雷侯龍史陶黎賀顧毛郝龔邵萬錢嚴覃武戴莫孔向湯"
-    "张刘陈杨黄赵吴孙马罗郑谢许韩冯邓萧蒋叶苏吕卢钟谭陆贾韦邹阎龙贺顾龚万钱严汤歐欧賴赖紀纪龐庞溫施洪詹游翁"
+    "张刘陈杨黄赵吴孙马罗郑谢许韩冯邓萧蒋叶苏吕卢钟谭陆贾韦邹阎龙贺顾龚万钱严汤歐欧賴赖紀纪龐庞溫施洪詹游翁童康季伍符柯祝岳景單甘卓牛喬申包成管易路關簡"
 )
-TITLE_CJK = "先生|小姐|女士|醫師|老師|教授|太太"
-AFTER_CJK = rf"{TITLE_CJK}|同學|說|旁邊|告訴|吃|修|叫|打|從來|聚|兩|一本|的事|渡|看|那件"
-SURE_CJK = "我和|跟|問|欠|坐在|陪|見到|認識|謝謝"
-BEFORE_CJK = rf"{SURE_CJK}|找|是|把|與|給|請"
+# Signs that are common in given names, titles, and signs that stand before, behind and never inside names.
+GIVEN_CJK = frozenset(CJK_GIVEN + "佳宜庭思穎宗筱哲彥廷強偉芳蘭梅麗珍雯慧敏靜娟信義仁安嘉慶銘峰凱翔昱睿品妍心怡萱瑜琪晴晨曦辰浩然博雨桐夢琳雪")
+TITLE_CJK = re.compile("先生|小姐|女士|醫師|醫生|老師|教授|太太|同學|師傅|經理")
+BEFORE_CJK = frozenset("和跟與同給對向問找陪見約請謝幫讓教是聽被替為由叫把到過了的友事師居生員理人兄姐弟妹親")
+BEHIND_CJK = frozenset("說來去在有是很也的要會把教走回請打不沒今明昨今從住喜想看聽給跟和與被到問送寄唱笑哭先小老同")
+INNER_CJK = re.compile("[和的是在說比了著過就也把被很與跟一這那不我你他她們有沒上下來去]")
 
 _WIDTH = {0xFF01 + k: 0x21 + k for k in range(94)} | {c: 0x20 for c in (0xA0, 0x3000, 0x2007, 0x2009, 0x202F)} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012)}
 
@@ -62,7 +89,7 @@ EMAIL = re.compile(
 )
 PHONE = re.compile(r"(?<![\d])(?:\+\s?)?\(?\d[\d() ./-]{5,22}\d(?:\s?(?:ext\.?|x|#)\s?\d{1,5})?")
 IDENT = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?:[A-Z]{2}[ -]?|[A-Za-z]{1,2}-?)\d(?:[ -]?\d){4,10}(?:[ -]?[A-Z]|[a-z])?|\d{3}[ -]\d{2}[ -]\d{4}|\d{6,10}[ -]?[A-Za-z])(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9])(?:(?:[A-Z]{2}[ -]?|[A-Za-z]{1,2}-?)\d(?:[ -]?\d){4,10}(?:[ -]?[A-Z]|[a-z])?|\d{3}[ -]\d{2}[ -]\d{4}|\d{6,10}[ -]?[A-Za-z]|[A-Z]\d{2}[A-Z]{2}\d{2}[A-Z]\d)(?![A-Za-z0-9])"
 )
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
 _WORD = r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*(?!\w)"
@@ -76,25 +103,43 @@ CJK_ADDRESS = re.compile(
     r"(?:[一-鿿]{2,4}[市縣县])?(?:[一-鿿]{1,4}[區区鄉乡鎮镇])?[一-鿿]{1,5}(?:路|街|大道|巷)(?:[一二三四五六七八九十\d]+段)?(?:\d+巷)?(?:\d+弄)?\d+(?:之\d+)?[號号](?:\d+樓(?:之\d+)?)?"
 )
 CJK = re.compile("[一-鿿]")
-NAMED = re.compile(rf"(?:[A-ZÀ-Þ]\.[ ]?)*{_WORD}(?:,[ ]?{_WORD}|[ ]+(?:[A-ZÀ-Þ]\.[ ]?)*(?:\(?['\"]?{_WORD}['\"]?\)?))*")
-CODE = re.compile(r"^\s*(?:print\(|for \w+ in|return |INFO |import |if .*:|#)|^\s*\w+ = ")
-TITLED = re.compile(rf"\b(?i:{TITLES})(?:[A-ZÀ-Þ]\.[ ]?)*{_WORD}(?:[ ]{_WORD})?")
-WORDS = re.compile(rf"[A-ZÀ-Þ]\.|{_WORD}")
+CJK_RUN = re.compile("[一-鿿]{2,}")
+TOKEN = re.compile(rf"[A-ZÀ-Þ]\.|{_WORD}")
+DIGIT = re.compile(r"\d")
+GAP = re.compile(r"[ ]?|[ ]\(?['\"]?|['\"]?\)?[ ]|,[ ]?")
+BEFORE_WORD, AFTER_WORD = re.compile(r"([^\W\d_]+)[,:]?\s*$"), re.compile(r"('s\b|’s\b)?[,]?\s*([^\W\d_]*)")
+TITLE_BEFORE = re.compile(rf"(?<!\w){TITLES}\.?\s$", re.I)
+CODE = re.compile(r"^\s*(?:print\(|for \w+ in|return |INFO |import |if .*:|def |#)|^\s*\w+ = ")
+URL = re.compile(r"https?://\S*$|[?&]\w+=$")
+CUES_OF = {kind: re.compile(rx) for kind, rx in CUES.items()}
+ANTI_RX, EXTENSION = re.compile(ANTI), re.compile(r"\s?(?:ext\.?|x|#)\s?\d{1,5}$")
+DATE = re.compile(r"(?:19|20)\d\d[-/. ]\d{1,2}[-/. ]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d|(?:19|20)\d{6}")
+QUAD, DECIMAL, NUMBERS = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"), re.compile(r"\d\.\d+[, ]+\d+\.\d"), re.compile(r"\d+")
+SHAPE_34, SHAPE_9, LETTERS, HEX = re.compile(r"\d{3}[ -]\d{2}[ -]\d{4}"), re.compile(r"[A-Za-z][ -]?\d{3}-?\d{6}|[A-Za-z]\d{8,9}"), re.compile(r"[A-Za-z]*"), re.compile(r"[0-9a-f]+")
+AT_SIGN, DOTS, UNIT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s", re.I), re.compile(r"\.|\s?[(\[]?\s?dot\s?[)\]]?\s?", re.I), re.compile(r"flat|apt|unit|樓|段|巷", re.I)
+ACCENTS = ("éèêëáàâäíìîïóòôöúùûüñçøå", "eeeeaaaaiiiioooouuuuncoa")
+_PLAIN = str.maketrans(*ACCENTS)
 
 FEATURES = (
     *(f"is_{k}" for k in KINDS), "length", "digits", "letters", "marks", "plus", "zero", "brackets", "before_letter", "before_sign", "before_cjk", "after_letter", "after_sign",
-    "cue", "anti", "code", "url", "groups", "longest_group", "shortest_group", "date", "dotted_quad", "decimal", "isbn", "shape_34", "shape_9", "shape_letter_end", "shape_letter_start",
-    "upper", "hex", "spaced_at", "word_at", "alpha_tld", "labels", "digit_tld", "house", "unit", "cjk", "given_first", "given_any", "given_last", "words", "title", "initial", "comma",
-    "all_caps", "place_word", "place_before", "sentence_start", "ambiguous", "surname", "cjk_before", "cjk_sure", "cjk_after", "cjk_title", "cjk_inner",
+    "cue", "anti", "code", "url", "groups", "longest_group", "shortest_group", "date", "dotted_quad", "decimal", "isbn", "shape_34", "shape_9", "letter_end", "letter_start",
+    "upper", "hex", "spaced_at", "word_at", "alpha_tld", "labels", "digit_tld", "house", "unit", "cjk", "given_first", "given_any", "given_last", "family_last", "family_any", "words", "title", "initial", "comma",
+    "place_inside", "place_after", "place_before", "sentence_start", "line_start", "line_end", "ambiguous", "relation", "to_people", "to_places", "by_people", "lower_after", "possessive", "cap_before", "cap_after",
+    "in_email", "compound", "cjk_known", "cjk_before", "cjk_behind", "cjk_edge", "cjk_inner", "cjk_word",
 )
+AT = {name: k for k, name in enumerate(FEATURES)}
 
-
-# Common given names beside those of the nicknames' table.
-COMMON = set(
+# Common given names beside those of the nicknames' table, and common words that begin with a family name's sign.
+COMMON = frozenset(
     "alice anna anne barbara carlos carmen claire clara david diana elena emily emma erik eva fatima george giulia hans helen hugo jane janet jean jorge jose "
     "juan julia karen klaus laura linda lucas lucia luis maria marie mark markus martin mary mia michel miguel monica nina olga omar otto pablo paul pedro "
     "peter philip pierre rachel ruth sara sarah simon sofia sophie stefan steven susan sven teresa thomas wei yuki".split()
 )
+WORDS_CJK = frozenset(
+    "高興 高度 高級 方法 方便 方向 方式 江水 馬上 馬路 周末 周圍 周年 夏天 夏季 林木 黃色 黃昏 黃金 白天 白色 白板 金錢 金屬 金融 石頭 溫度 溫柔 溫暖 葉子 葉片 施工 洪水 許多 許願 田野 任何 任務 程式 程度 顏色 包裹 包括 包裝 "
+    "文章 文化 水果 安全 安靜 和平 孔雀 雷聲 雷雨 湯匙 毛巾 毛衣 龍頭 車站 張開 張貼 陳列 陳舊 楊柳 孫子 胡椒 胡說 何時 何處 何必 鄭重 謝意 謝謝 宋朝 唐詩 曾經 董事 余地 杜鵑 蘇打 丁香 沈重 沈默 姜餅 鍾愛 陸地 陸續 汪洋 武術 武器 "
+    "莫非 莫名 向來 向前 史料 陶器 黎明 賀卡 顧客 萬一 萬分 錢包 嚴格 嚴重 童年 康復 季節 符號 祝福 岳父 景色 單字 單位 卓越 牛奶 申請 管理 路上 路邊 關於 關係 關門 簡單 成功 成為 成員 游泳 游客 歐洲 紀念 紀錄 賴床".split()
+)
 
 
 @lru_cache(1)
@@ -103,129 +148,165 @@ def common_given() -> frozenset[str]:
 
 
 def _plain(word: str) -> str:
-    return word.lower().translate(str.maketrans("éèêëáàâäíìîïóòôöúùûüñçøå", "eeeeaaaaiiiioooouuuuncoa")).strip("'\"().,")
-
-
-def _latin_names(text: str, given: frozenset[str]) -> Iterator[tuple[int, int]]:
-    """Spans around given names, titles and initials, and any two capitalised words inside a sentence."""
-    for run in TITLED.finditer(text):
-        yield run.span()
-        if run[0].count(" ") > 1:
-            yield run.start(), run.start() + run[0].rindex(" ")
-    for run in NAMED.finditer(text):
-        words = [(m.start() + run.start(), m.end() + run.start(), m[0]) for m in WORDS.finditer(run[0])]
-        for k, (begin, end, word) in enumerate(words):
-            if _plain(word) in given:
-                ends = [end, *(e for b, e, w in words[k + 1 : k + 4] if "," not in text[end:b])]
-                yield begin, ends[-1]
-                if len(ends) > 2:
-                    yield begin, ends[1]
-                if len(ends) > 1:
-                    yield begin, end
-                if k and text[words[k - 1][1] : begin].strip() == ",":
-                    yield words[k - 1][0], end
-                elif k:
-                    yield words[k - 1][0], end
-            elif len(word) == 2 and word[1] == "." and k + 1 < len(words) and len(words[k + 1][2]) > 2:
-                yield begin, words[k + 1][1]
-                if k and text[words[k - 1][1] : begin].strip() == "":
-                    yield words[k - 1][0], words[k + 1][1]
-            elif k + 1 < len(words) and text[end : words[k + 1][0]] == " " and _inside(text, begin):
-                yield begin, words[k + 1][1]
-        m = re.search(r"(\w+), ([A-ZÀ-Þ]\.)$", text[run.start() : run.end() + 1])
-        if m:
-            yield run.start() + m.start(), run.start() + m.end()
-
-
-def _inside(text: str, at: int) -> bool:
-    """Whether a place is inside a sentence."""
-    before = text[max(0, at - 3) : at]
-    return bool(before.strip()) and before[-1] == " " and before.rstrip()[-1] not in ".!?;:。！？·"
-
-
-def _cjk_names(text: str) -> Iterator[tuple[int, int]]:
-    """A family name's character and one or two more, beside words that stand beside names."""
-    for run in re.finditer(r"[一-鿿]+", text):
-        for i in range(run.start(), run.end() - 1):
-            if text[i] in SURNAMES:
-                before = text[max(0, i - 3) : i]
-                near = re.search(rf"(?:{BEFORE_CJK})$", before) or i == run.start() or text[i - 1] in "，。！？"
-                for n in (3, 2):
-                    after = text[i + n : i + n + 2]
-                    if i + n <= run.end() and (re.search(rf"(?:{SURE_CJK})$", before) or (near and re.match(AFTER_CJK, after)) or re.match(TITLE_CJK, after)):
-                        yield i, i + n
-
-
-def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, str, list[float]]]:
+    return word.lower().translate(_PLAIN).strip("'\"().,")
+
+
+@dataclass(frozen=True)
+class Names:
+    """Words and signs that are known from names: given names, family names, signs of Chinese given names."""
+
+    given: frozenset[str] = frozenset()
+    family: frozenset[str] = frozenset()
+    signs: frozenset[str] = frozenset()
+
+
+def _latin_spans(text: str) -> Iterator[tuple[int, int, list[re.Match], str, str]]:
+    """All spans of up to MOST_WORDS words in a row that are capitalised (initials beside), with their words and the words of
+    the same run before and behind them. A comma may stand between a last and a first name."""
+    run: list[re.Match] = []
+    for token in [*TOKEN.finditer(text), None]:
+        if run and (token is None or not GAP.fullmatch(text, run[-1].end(), token.start())):
+            yield from _spans_of_run(text, run)
+            run = []
+        if token is not None:
+            run.append(token)
+
+
+def _spans_of_run(text: str, run: list[re.Match]) -> Iterator[tuple[int, int, list[re.Match], str, str]]:
+    plain = [_plain(m[0]) for m in run]
+    usable = [len(m[0]) > 1 and p not in FUNCTION for m, p in zip(run, plain)]
+    for i in range(len(run)):
+        if not usable[i]:
+            continue
+        full, commas = 0, 0
+        for j in range(i, min(len(run), i + MOST_WORDS + 2)):
+            if not usable[j]:
+                break
+            if j > i and text[run[j - 1].end()] == ",":
+                commas += 1
+            full += run[j][0][-1] != "."
+            if full > MOST_WORDS or commas > 1 or (commas and j - i > 2):
+                break
+            if full and (run[j][0][-1] != "." or (commas and full == 1)):
+                before = plain[i - 1] if i and text[run[i - 1].end() : run[i].start()] == " " else ""
+                behind = plain[j + 1] if j + 1 < len(run) and text[run[j].end() : run[j + 1].start()] == " " else ""
+                yield run[i].start(), run[j].end(), run[i : j + 1], before, behind
+
+
+def _cjk_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Each sign of a family name with the next one and two, compound names also with the next three."""
+    for run in CJK_RUN.finditer(text):
+        begin, end = run.span()
+        for i in range(begin, end - 1):
+            if text[i : i + 2] in COMPOUND:
+                yield from ((i, i + n) for n in (3, 4) if i + n <= end)
+            elif text[i] in SURNAMES:
+                yield from ((i, i + n) for n in (2, 3) if i + n <= end)
+
+
+def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[float]]]:
     """Overlapping spans with their kinds and features. All places are those of the given text."""
     same = text.translate(_WIDTH)
     latin = CJK.sub("·", same)
-    spans = {(m.start(), m.end(), "email") for m in EMAIL.finditer(latin)}
-    spans |= {(m.start(), m.end(), "phone") for m in PHONE.finditer(latin) if sum(map(str.isdigit, m[0])) >= 7}
-    spans |= {(m.start(), m.end(), "id") for m in IDENT.finditer(latin) if sum(map(str.isdigit, m[0])) >= 5}
-    spans |= {(m.start(), m.end(), "address") for rx in ADDRESS for m in rx.finditer(latin)}
-    spans |= {(m.start(), m.end(), "address") for m in CJK_ADDRESS.finditer(same)}
-    spans |= {(*s, "name") for s in _latin_names(latin, given)} | {(*s, "name") for s in _cjk_names(same)}
-    return [(*s, _features(same, *s, given)) for s in sorted(spans)]
-
-
-def _features(text: str, begin: int, end: int, kind: str, given: frozenset[str]) -> list[float]:
-    span, f = text[begin:end], dict.fromkeys(FEATURES, 0.0)
-    line_start = text.rfind("\n", 0, begin) + 1
-    line_end = text.find("\n", end)
-    line = text[line_start : line_end if line_end >= 0 else len(text)]
-    before, after = text[max(line_start, begin - 28) : begin], text[end : end + 14].split("\n")[0]
-    left, right = text[begin - 1 : begin] if begin else " ", text[end : end + 1] or " "
-    f[f"is_{kind}"] = 1
-    f["length"], f["digits"] = len(span), sum(map(str.isdigit, span))
-    f["letters"] = sum(map(str.isalpha, span))
-    f["marks"] = len(span) - f["digits"] - f["letters"]
-    f["plus"], f["zero"], f["brackets"] = span[0] == "+", span.lstrip("(+")[:1] == "0", "(" in span
-    f["before_letter"], f["after_letter"] = left.isalnum() and left < "一", right.isalnum() and right < "一"
-    f["before_sign"], f["after_sign"] = left in "#$€£-_.:=&/+@", right in "-_=&/@%" or (right == ":" and text[end + 1 : end + 2].isdigit())
-    f["before_cjk"] = "一" <= left < "龥"
-    f["cue"] = bool(re.search(CUES[kind], f"{before.lower()}¦{after.lower()}")) or (kind == "name" and bool(re.search(r"(?:best|yours|warmly|regards|cheers|sincerely),?\s*$", text[max(0, begin - 14) : begin].lower())))
-    f["anti"] = kind in ("phone", "id") and bool(re.search(ANTI, before.lower()[-16:] + span.lower()[:4]))
-    f["code"] = bool(CODE.search(line))
-    f["url"] = bool(re.search(r"https?://\S*$|[?&]\w+=$", text[max(0, begin - 60) : begin]))
-    if kind in ("phone", "id"):
-        groups = re.findall(r"\d+", re.sub(r"\s?(?:ext\.?|x|#)\s?\d{1,5}$", "", span) if kind == "phone" else span)
-        f["groups"], f["longest_group"], f["shortest_group"] = len(groups), max(map(len, groups)), min(map(len, groups))
-        f["date"] = bool(re.fullmatch(r"(?:19|20)\d\d[-/. ]\d{1,2}[-/. ]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d|(?:19|20)\d{6}", span))
-        f["dotted_quad"] = bool(re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", span))
-        f["decimal"] = bool(re.search(r"\d\.\d+[, ]+\d+\.\d", span))
-        f["isbn"] = span.startswith(("978", "979"))
-        f["shape_34"], f["shape_9"] = bool(re.fullmatch(r"\d{3}[ -]\d{2}[ -]\d{4}", span)), bool(re.fullmatch(r"[A-Za-z][ -]?\d{3}-?\d{6}|[A-Za-z]\d{8,9}", span))
-        f["shape_letter_end"], f["shape_letter_start"] = span[-1].isalpha(), (re.match(r"[A-Za-z]*", span) or [""])[0] != "" and len(re.match(r"[A-Za-z]*", span)[0])
-        f["upper"], f["hex"] = span.upper() == span, bool(re.fullmatch(r"[0-9a-f]+", span)) and not span.isdigit()
-    elif kind == "email":
-        f["spaced_at"], f["word_at"] = " @" in span or "@ " in span, "@" not in span
-        labels = re.split(r"\.|\s?[(\[]?\s?dot\s?[)\]]?\s?", re.split(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s", span, flags=re.I)[-1].strip())
-        f["labels"], f["alpha_tld"], f["digit_tld"] = len(labels), len(labels) > 1 and labels[-1].isalpha() and len(labels[-1]) > 1, labels[-1][:1].isdigit()
-    elif kind == "address":
-        f["house"], f["unit"], f["cjk"] = bool(re.search(r"\d", span)), bool(re.search(r"flat|apt|unit|樓", span.lower())), bool(re.search("[一-鿿]", span))
-        f["words"] = len(span.split())
-    else:
-        words = [w for w in WORDS.findall(span)]
-        title = re.match(rf"(?i:{TITLES})", span) or re.search(rf"(?i:{TITLES})$", text[max(0, begin - 12) : begin])
-        own = [w for w in words if not re.fullmatch(rf"(?i:{TITLES})", w + " ")]
-        known = [_plain(w) in given for w in own] or [False]
-        f["words"], f["title"], f["initial"], f["comma"] = len(own), bool(title), any(len(w) == 2 and w[1] == "." for w in words), "," in span
-        f["given_first"], f["given_any"], f["given_last"] = known[0], any(known), known[-1]
-        f["all_caps"] = span.isupper()
-        following = re.match(r"\s+([^\W\d_]+)", text[end : end + 24])
-        f["place_word"] = any(_plain(w) in PLACES for w in own) or bool(following and following[1][0].isupper() and _plain(following[1]) in PLACES)
-        f["place_before"] = bool((m := re.search(r"(\w+)\s+$", before)) and _plain(m[1]) in BEFORE_PLACES) or (bool(own) and _plain(own[0]) in BEFORE_PLACES)
-        f["sentence_start"] = not before.strip() or before.rstrip()[-1:] in ".!?;。！？"
-        f["ambiguous"] = len(own) == 1 and _plain(own[0]) in AMBIGUOUS
-        f["cjk"] = bool(re.match("[一-鿿]", span))
-        if f["cjk"]:
-            f["surname"], f["words"] = span[0] in SURNAMES, len(span)
-            f["cjk_before"] = bool(re.search(rf"(?:{BEFORE_CJK})$", text[max(0, begin - 3) : begin])) or begin == 0 or not CJK.match(text[begin - 1])
-            f["cjk_sure"] = bool(re.search(rf"(?:{SURE_CJK})$", text[max(0, begin - 3) : begin]))
-            f["cjk_after"], f["cjk_title"] = bool(re.match(AFTER_CJK, after)), bool(re.match(TITLE_CJK, after))
-            f["cjk_inner"] = bool(re.search("[和的是在說比了著過就也把被很與跟一這那不]", span[1:]))
-    return [float(f[k]) for k in FEATURES]
+    out = []
+    emails = [m.span() for m in EMAIL.finditer(latin)] if "@" in latin or "at" in latin.lower() else []
+    spans = {(*m, "email") for m in emails}
+    if DIGIT.search(latin):
+        spans |= {(m.start(), m.end(), "phone") for m in PHONE.finditer(latin) if sum(map(str.isdigit, m[0])) >= 7}
+        spans |= {(m.start(), m.end(), "id") for m in IDENT.finditer(latin) if sum(map(str.isdigit, m[0])) >= 5}
+        spans |= {(m.start(), m.end(), "address") for rx in ADDRESS for m in rx.finditer(latin)}
+        spans |= {(m.start(), m.end(), "address") for m in CJK_ADDRESS.finditer(same)}
+    for begin, end, kind in sorted(spans):
+        f = _context(same, begin, end, kind)
+        (_number_features if kind in ("phone", "id") else _email_features if kind == "email" else _address_features)(f, same[begin:end], kind)
+        out.append((begin, end, kind, f))
+    for begin, end, words, before, behind in _latin_spans(latin):
+        f = _context(same, begin, end, "name")
+        f[AT["in_email"]] = float(any(b <= begin and end <= e for b, e in emails))
+        _name_features(f, same, begin, end, words, before, behind, names)
+        out.append((begin, end, "name", f))
+    for begin, end in _cjk_spans(same):
+        f = _context(same, begin, end, "name")
+        _cjk_features(f, same, begin, end, names)
+        out.append((begin, end, "name", f))
+    return out
+
+
+def _context(text: str, begin: int, end: int, kind: str) -> list[float]:
+    """What all kinds have: the span's signs and what stands beside it on the same line."""
+    f, span = [0.0] * len(FEATURES), text[begin:end]
+    left, right = text[begin - 1 : begin] or " ", text[end : end + 1] or " "
+    f[AT[f"is_{kind}"]] = 1.0
+    f[AT["length"]] = float(end - begin)
+    f[AT["before_letter"]], f[AT["after_letter"]] = float(left.isalnum() and left < "一"), float(right.isalnum() and right < "一")
+    f[AT["before_sign"]], f[AT["after_sign"]] = float(left in "#$€£-_.:=&/+@"), float(right in "-_=&/@%" or (right == ":" and text[end + 1 : end + 2].isdigit()))
+    f[AT["before_cjk"]] = float("一" <= left < "龥")
+    f[AT["line_start"]], f[AT["line_end"]] = float(begin == 0 or left == "\n"), float(end == len(text) or right == "\n")
+    if kind != "name":
+        digits = sum(map(str.isdigit, span))
+        letters = sum(map(str.isalpha, span))
+        f[AT["digits"]], f[AT["letters"]], f[AT["marks"]] = float(digits), float(letters), float(end - begin - digits - letters)
+        line_start = text.rfind("\n", 0, begin) + 1
+        before, after = text[max(line_start, begin - 28) : begin].lower(), text[end : end + 14].split("\n")[0].lower()
+        f[AT["cue"]] = float(bool(CUES_OF[kind].search(f"{before}¦{after}")))
+        if kind in ("phone", "id"):
+            f[AT["anti"]] = float(bool(ANTI_RX.search(before[-16:] + span.lower()[:4])))
+        f[AT["code"]] = float(bool(CODE.search(text[line_start : text.find("\n", end) if text.find("\n", end) >= 0 else len(text)])))
+        f[AT["url"]] = float(bool(URL.search(text[max(0, begin - 60) : begin])))
+    return f
+
+
+def _number_features(f: list[float], span: str, kind: str) -> None:
+    f[AT["plus"]], f[AT["zero"]], f[AT["brackets"]] = float(span[0] == "+"), float(span.lstrip("(+")[:1] == "0"), float("(" in span)
+    groups = [len(g) for g in NUMBERS.findall(EXTENSION.sub("", span) if kind == "phone" else span)]
+    f[AT["groups"]], f[AT["longest_group"]], f[AT["shortest_group"]] = float(len(groups)), float(max(groups)), float(min(groups))
+    f[AT["date"]], f[AT["dotted_quad"]], f[AT["decimal"]] = float(bool(DATE.fullmatch(span))), float(bool(QUAD.fullmatch(span))), float(bool(DECIMAL.search(span)))
+    f[AT["isbn"]], f[AT["shape_34"]], f[AT["shape_9"]] = float(span.startswith(("978", "979"))), float(bool(SHAPE_34.fullmatch(span))), float(bool(SHAPE_9.fullmatch(span)))
+    f[AT["letter_end"]], f[AT["letter_start"]] = float(span[-1].isalpha()), float(len(LETTERS.match(span)[0]))
+    f[AT["upper"]], f[AT["hex"]] = float(span.upper() == span), float(bool(HEX.fullmatch(span)) and not span.isdigit())
+
+
+def _email_features(f: list[float], span: str, kind: str) -> None:
+    f[AT["spaced_at"]], f[AT["word_at"]] = float(" @" in span or "@ " in span), float("@" not in span)
+    labels = DOTS.split(AT_SIGN.split(span)[-1].strip())
+    f[AT["labels"]], f[AT["alpha_tld"]], f[AT["digit_tld"]] = float(len(labels)), float(len(labels) > 1 and labels[-1].isalpha() and len(labels[-1]) > 1), float(labels[-1][:1].isdigit())
+
+
+def _address_features(f: list[float], span: str, kind: str) -> None:
+    f[AT["house"]], f[AT["unit"]], f[AT["cjk"]], f[AT["words"]] = float(bool(DIGIT.search(span))), float(bool(UNIT.search(span))), float(bool(CJK.search(span))), float(len(span.split()))
+
+
+def _name_features(f: list[float], text: str, begin: int, end: int, words: list[re.Match], before: str, behind: str, names: Names) -> None:
+    own = [_plain(m[0]) for m in words if m[0][-1] != "."]
+    given, family = [w in names.given for w in own], [w in names.family for w in own]
+    f[AT["words"]], f[AT["initial"]], f[AT["comma"]] = float(len(own)), float(len(own) < len(words)), float("," in text[begin:end])
+    f[AT["given_first"]], f[AT["given_any"]], f[AT["given_last"]] = float(given[0]), float(sum(given)), float(given[-1])
+    f[AT["family_last"]], f[AT["family_any"]] = float(family[-1]), float(sum(family))
+    f[AT["upper"]], f[AT["ambiguous"]] = float(text[begin:end].isupper()), float(len(own) == 1 and own[0] in AMBIGUOUS)
+    f[AT["title"]] = float(bool(TITLE_BEFORE.search(text, max(0, begin - 12), begin)))
+    f[AT["cap_before"]], f[AT["cap_after"]] = float(bool(before)), float(bool(behind))
+    left = BEFORE_WORD.search(text, max(0, begin - 24), begin)
+    word = left[1].lower() if left else ""
+    f[AT["relation"]], f[AT["to_people"]], f[AT["to_places"]] = float(word in RELATIONS), float(word in TO_PEOPLE), float(word in TO_PLACES)
+    right = AFTER_WORD.match(text, end, end + 24)
+    following = right[2] if right else ""
+    f[AT["possessive"]], f[AT["lower_after"]], f[AT["by_people"]] = float(bool(right and right[1])), float(following[:1].islower()), float(following in BY_PEOPLE)
+    f[AT["place_inside"]] = float(sum(w in PLACES for w in own))
+    f[AT["place_after"]], f[AT["place_before"]] = float(following.lower() in PLACES), float(before in PLACES or word in PLACES)
+    edge = text[max(0, begin - 3) : begin].rstrip(" \"'(")
+    f[AT["sentence_start"]] = float(not edge or edge[-1] in ".!?;:\n。！？·")
+
+
+def _cjk_features(f: list[float], text: str, begin: int, end: int, names: Names) -> None:
+    compound = text[begin : begin + 2] in COMPOUND
+    own = text[begin + (2 if compound else 1) : end]
+    left, right = text[begin - 1 : begin], text[end : end + 1]
+    f[AT["cjk"]], f[AT["words"]], f[AT["compound"]] = 1.0, float(len(own)), float(compound)
+    f[AT["cjk_known"]] = sum(c in names.signs for c in own) / len(own)
+    f[AT["cjk_before"]], f[AT["cjk_behind"]] = float(left in BEFORE_CJK), float(right in BEHIND_CJK)
+    f[AT["cjk_edge"]] = float(not CJK.match(left)) + 2.0 * float(not CJK.match(right))
+    f[AT["cjk_inner"]], f[AT["cjk_word"]] = float(bool(INNER_CJK.search(own))), float(text[begin : begin + 2] in WORDS_CJK) + 2.0 * float(text[end - 1 : end + 1] in WORDS_CJK)
+    f[AT["title"]] = float(bool(TITLE_CJK.match(text, end)))
 
 
 def best_spans(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
@@ -237,46 +318,74 @@ def best_spans(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return sorted(taken)
 
 
-def _spread(batches: Iterator[pd.DataFrame], keys: list[str], given: frozenset[str]) -> Iterator[pd.DataFrame]:
+def _spread(batches: Iterator[pd.DataFrame], keys: list[str], names: Names) -> Iterator[pd.DataFrame]:
+    columns = [*keys, "_begin", "_end", "_kind", "_features"]
     for batch in batches:
         rows = []
-        for *key, text in batch.itertuples(index=False, name=None):
-            rows += [(*key, *c) for c in candidates(text, given)]
+        for *key, text, known in batch.itertuples(index=False, name=None):
+            here = names if known is None else Names(names.given | {w[1:] for w in known if w[0] == "g"}, names.family | {w[1:] for w in known if w[0] == "f"}, names.signs)
+            rows += [(*key, *c) for c in candidates(text, here)]
             if len(rows) > 4000:
-                yield pd.DataFrame(rows, columns=[*keys, "_begin", "_end", "_kind", "_features"])
+                yield pd.DataFrame(rows, columns=columns)
                 rows = []
-        yield pd.DataFrame(rows, columns=[*keys, "_begin", "_end", "_kind", "_features"])
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _made(batches: Iterator[pd.DataFrame], seed: int, names: Names) -> Iterator[pd.DataFrame]:
+    """Candidates of the labelled examples."""
+    for batch in batches:
+        rows = []
+        for number in batch["id"]:
+            held, text, truth = example(int(number), seed)
+            rows += [(held, kind, features, _right(begin, end, kind, truth)) for begin, end, kind, features in candidates(text, names)]
+        yield pd.DataFrame(rows, columns=["held", "kind", "features", "label"])
 
 
 class Redactor:
     """The fitted trees and the threshold of each kind."""
 
-    def __init__(self, model: GBTClassificationModel, thresholds: dict[str, float], given: frozenset[str]):
-        self.model, self.thresholds, self.given = model, thresholds, given
+    def __init__(self, model: GBTClassificationModel, thresholds: dict[str, float], names: Names, listed: DataFrame | None = None):
+        self.model, self.thresholds, self.names, self.listed = model, thresholds, names, listed
 
     @classmethod
-    def fit(cls, spark: SparkSession, given: frozenset[str] = frozenset(), seed: int = 11) -> Redactor:
-        """Trees fitted on four of five sentence patterns; thresholds from the fifth: for each kind, of those with the
-        best balance of right and missed spans, the one nearest to one half."""
-        given = given | common_given()
-        fit, held = [], []
-        for group, text, truth in examples(MOST_EXAMPLES, seed):
-            for begin, end, kind, features in candidates(text, given):
-                (held if group % 5 == 0 else fit).append((kind, features, _right(begin, end, kind, truth)))
-        schema = "kind string, features array<double>, label double"
-        frames = [spark.createDataFrame(rows, schema).withColumn("vector", array_to_vector("features")).coalesce(2) for rows in (fit, held)]
-        trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=5, stepSize=0.3, maxBins=32, seed=seed, cacheNodeIds=False)
-        model = trees.fit(frames[0])
-        scored = model.transform(frames[1]).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
-        return cls(model, {kind: _threshold(scored[scored.kind == kind]) for kind in KINDS}, given)
+    def fit(cls, spark: SparkSession, people: DataFrame | None = None, name: str = "name", seed: int = 11) -> Redactor:
+        """Trees fitted on MOST_EXAMPLES texts made of four of five frames; thresholds from those of the fifth: for each kind, of
+        those with the best balance of right and missed spans, the one nearest to one half. ``people`` is a table whose
+        ``name`` column teaches given names, family names and the signs of Chinese given names."""
+        fixed = Names(common_given(), KNOWN_FAMILY, GIVEN_CJK)
+        made = spark.range(MOST_EXAMPLES).repartition(8).mapInPandas(lambda b: _made(b, seed, fixed), "held boolean, kind string, features array<float>, label double")
+        made = cut_lineage(made)
+        vectors = made.withColumn("vector", array_to_vector("features"))
+        trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=6, stepSize=0.3, maxBins=32, seed=seed, cacheNodeIds=False)
+        model = trees.fit(vectors.filter("not held").coalesce(2))
+        scored = model.transform(vectors.filter("held")).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
+        thresholds = {kind: _threshold(scored[scored.kind == kind]) for kind in KINDS}
+        if people is None:
+            return cls(model, thresholds, fixed)
+        signs = frozenset(r["sign"] for r in _name_signs(people, name).collect())  # not more than there are signs
+        listed = cut_lineage(name_words(people, name))
+        if listed.count() > MOST_HANDED:
+            return cls(model, thresholds, Names(fixed.given, fixed.family, fixed.signs | signs), listed)
+        handed = [r["word"] for r in listed.collect()]
+        given, family = (frozenset(w[1:] for w in handed if w[0] == k) for k in "gf")
+        return cls(model, thresholds, Names(fixed.given | given, family, fixed.signs | signs))
+
+    def _known(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Adds the listed words that occur in each text as ``_known``; null where all are handed to the tasks."""
+        if self.listed is None:
+            return rows.withColumn("_known", F.lit(None).cast("array<string>"))
+        words = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(r"(\p{Lu}[\p{L}'’-]*)"), 1), _plain_column))
+        each = rows.select(*keys, F.explode(words).alias("_plain")).join(self.listed.withColumn("_plain", F.substring("word", 2, 1000)), "_plain")
+        found = each.groupBy(*keys).agg(F.collect_set("word").alias("_known"))
+        return rows.join(found, keys, "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
 
     def spans(self, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
         """``keys, begin, end, kind`` of the personal information in each text. ``keys`` must tell the texts apart. Null
         and empty texts give no rows; texts of any length are read whole; other columns are ignored."""
         kinds = "".join(f"`{k}` {texts.schema[k].dataType.simpleString()}, " for k in keys)
-        given = self.given
-        rows = texts.select(*keys, F.col(text).alias("_text")).filter(F.char_length("_text") > 0)
-        found = rows.mapInPandas(lambda b: _spread(b, keys, given), kinds + "_begin int, _end int, _kind string, _features array<double>")
+        names = self.names
+        rows = self._known(texts.select(*keys, F.col(text).alias("_text")).filter(F.char_length("_text") > 0), keys)
+        found = rows.mapInPandas(lambda b: _spread(b, keys, names), kinds + "_begin int, _end int, _kind string, _features array<float>")
         scored = self.model.transform(found.withColumn("vector", array_to_vector("_features")))
         sure = scored.select(*keys, "_begin", "_end", "_kind", vector_to_array("probability")[1].alias("_p"))
         enough = F.element_at(F.create_map(*(F.lit(x) for kv in self.thresholds.items() for x in kv)), F.col("_kind"))
@@ -324,9 +433,21 @@ def _threshold(scored: pd.DataFrame) -> float:
     return min(chosen, key=lambda t: abs(t - 0.5))
 
 
-def given_names(people: DataFrame, name: str) -> frozenset[str]:
-    """Words that stand for a given name beside three family names or more, the MOST_GIVEN commonest of them."""
-    plain = F.lower(F.translate(name, "éèêëáàâäíìîïóòôöúùûüñçøåÉÅØ", "eeeeaaaaiiiioooouuuuncoaEAO"))
-    parts = people.select(F.regexp_extract(plain, r"^([a-z]{3,}) (?:[a-z]\. )?([a-z]{4,})$", 1).alias("given"), F.regexp_extract(plain, r"([a-z]{4,})$", 1).alias("family"))
-    often = parts.filter("given != '' and family != ''").groupBy("given").agg(F.countDistinct("family").alias("n")).filter("n > 3")
-    return frozenset(r["given"] for r in often.orderBy(F.desc("n"), "given").limit(MOST_GIVEN).collect())
+def _plain_column(word: Column) -> Column:
+    """What `_plain` gives."""
+    return F.trim(F.translate(F.lower(word), *ACCENTS), F.lit("'\"().,"))
+
+
+def name_words(people: DataFrame, name: str) -> DataFrame:
+    """``word``: g and each word that begins names with SUPPORT last words or more, f and each that ends names with as many first words."""
+    plain = _plain_column(F.col(name))
+    parts = people.select(F.regexp_extract(plain, r"^(\p{L}[\p{L}'’-]+) (?:\p{L}\.? )?(\p{L}[\p{L}'’-]+)$", 1).alias("given"), F.regexp_extract(plain, r"^(\p{L}[\p{L}'’-]+) (?:\p{L}\.? )?(\p{L}[\p{L}'’-]+)$", 2).alias("family"))
+    parts = parts.filter("given != '' and family != ''")
+    often = [parts.groupBy(one).agg(F.countDistinct(other).alias("n")).filter(F.col("n") >= SUPPORT).select(F.concat(F.lit(one[0]), one).alias("word")) for one, other in (("given", "family"), ("family", "given"))]
+    return often[0].unionByName(often[1])
+
+
+def _name_signs(people: DataFrame, name: str) -> DataFrame:
+    """``sign``: signs that stand behind the first in SUPPORT Chinese names or more."""
+    names = people.select(F.regexp_replace(name, "[ ·・]", "").alias("n")).filter(F.col("n").rlike("^[\u4e00-\u9fff]{2,4}$")).distinct()
+    return names.select(F.explode(F.split(F.substring("n", 2, 3), "")).alias("sign")).groupBy("sign").count().filter(F.col("count") >= SUPPORT).select("sign")

@@ -48,7 +48,7 @@ def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _redactor(spark: SparkSession, sf_dir: str) -> privacy.Redactor:
-    return privacy.Redactor.fit(spark, privacy.given_names(table(spark, sf_dir, "persons"), "name"))
+    return privacy.Redactor.fit(spark, table(spark, sf_dir, "persons"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
