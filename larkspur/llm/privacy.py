@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.privacy_examples import CJK_GIVEN, COMPOUND, KNOWN_FAMILY, example
+from larkspur.llm.privacy_examples import CJK_GIVEN, COMPOUND, CWORDS, KNOWN_FAMILY, KNOWN_WORDS, example
 from larkspur.llm.variants import NICKNAMES
 from larkspur.session import cut_lineage
 
@@ -32,6 +32,8 @@ MOST_EXAMPLES = 6000
 MOST_HANDED = 100_000
 #: Words or signs stand for a given or family name once seen so beside as many others.
 SUPPORT = 3
+#: Pairs of signs are words, not beginnings of names, if they stand in the texts so often and at most so seldom before a name's sign.
+WORD_COUNT, NAME_SHARE = 8, 0.4
 #: Words in a row that a candidate for a name may have.
 MOST_WORDS = 3
 
@@ -42,7 +44,7 @@ CUES = {
     "id": r"\bid\b|identi|passport|licen[cs]e|\btax\b|insur|social|security|document|card|visa|\bdni\b|\bnie\b|pasaporte|tarjeta|ausweis|steuer|versicher|carte|sécurité|護照|身分|身份|證|健保|稅",
     "address": r"live|living|house|address|office|ship|deliver|move|rent|room|visit|wohn|anschrift|adresse|liefer|vivi|vivo|direcci|envi|habit|livr|住|地址|搬|送|寄|家|公司",
 }
-ANTI = r"\b(?:isbn|tracking|trk|parcel|inv|invoice|order|sha|commit|host|ping|grid|model|build|ticket|version|chapter|section|page|room|floor|route|bus|stop|row|port|info|flight|born|from)\b|nt\$|usd|[$€£]|print\(|range\("
+ANTI = r"\b(?:isbn|tracking|trk|parcel|inv|invoice|order|sha|commit|host|ping|grid|model|build|ticket|version|chapter|section|page|room|floor|route|bus|stop|row|port|info|flight|born)\b|nt\$|usd|[$€£]|print\(|range\("
 STREETS = "street|st|road|rd|avenue|ave|lane|ln|close|crescent|drive|dr|court|ct|square|sq|terrace|boulevard|blvd|way|row|gardens|hill|grove|place|pl"
 PLACES = frozenset(
     "library club choir bay street road lane hill station office bridge park school university college hospital café cafe town city village lake river mountain mount island "
@@ -66,6 +68,10 @@ FUNCTION = frozenset(
     "what who why how which yes no not nobody everyone everybody everything nothing something someone each every some any all both most later once now today tomorrow yesterday again also just only still very please "
     "monday tuesday wednesday thursday friday saturday sunday january february april june july august september october november december spring summer autumn winter christmas easter "
     "der die das ein eine ich wir du er sie es und oder aber wenn mit von für nach am im in montag dienstag mittwoch donnerstag freitag samstag sonntag el la los las un una yo y o pero si con de en le les des un une je nous vous il elle et ou mais si avec dans "
+    "zwischen neben hinter unter über vor ohne gegen um durch während seit bis auf aus bei zu an als wie dann dort hier heute gestern morgen jeder jede jedes kein keine mein meine dein sein ihr unser nicht nur noch schon auch wo wer was warum "
+    "entre sobre sin hasta desde para por cuando donde como porque aunque hoy ayer mañana este esta estos todo toda cada mi tu su no ya también nadie aquí ahora quien que del al se me "
+    "sous sur sans contre vers chez entre depuis pendant pour par quand où comme parce hier demain aujourd'hui ce cette ces tout toute chaque mon ma mes ton son sa ses ne pas plus personne ici qui que au aux du se me on "
+    "between beside behind under over above near against during through across along among around down up off out within outside inside instead unless whether whose whom many much few several other another such own same than too "
     "regards cheers sincerely yours dear hi hello best thanks re fw fwd info".split()
 )
 TITLES = r"(?:dr|mr|mrs|ms|miss|prof|sir|herr|frau|señora?|mme|m|coach|professor|doctor)"
@@ -87,6 +93,7 @@ _HOST = r"[\w-]+(?:\.[\w-]+)*"
 EMAIL = re.compile(
     rf"[\w.+%-]+(?:(?:\s?@\s?|\s?[(\[{{]\s?at\s?[)\]}}]\s?){_HOST}(?:\s?[(\[]?\s?dot\s?[)\]]?\s?[\w-]+)*|\sat\s[\w-]+(?:\sdot\s[\w-]+)+)", re.A | re.I
 )
+WRITTEN_AT = re.compile(r"@|\bat\s?[)\]}]|\sdot\s", re.I)
 PHONE = re.compile(r"(?<![\d])(?:\+\s?)?\(?\d[\d() ./-]{5,22}\d(?:\s?(?:ext\.?|x|#)\s?\d{1,5})?")
 IDENT = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:[A-Z]{2}[ -]?|[A-Za-z]{1,2}-?)\d(?:[ -]?\d){4,10}(?:[ -]?[A-Z]|[a-z])?|\d{3}[ -]\d{2}[ -]\d{4}|\d{6,10}[ -]?[A-Za-z]|[A-Z]\d{2}[A-Z]{2}\d{2}[A-Z]\d)(?![A-Za-z0-9])"
@@ -129,17 +136,12 @@ FEATURES = (
 )
 AT = {name: k for k, name in enumerate(FEATURES)}
 
-# Common given names beside those of the nicknames' table, and common words that begin with a family name's sign.
+# Common given names beside those of the nicknames' table.
 COMMON = frozenset(
     "alice anna anne barbara carlos carmen claire clara david diana elena emily emma erik eva fatima george giulia hans helen hugo jane janet jean jorge jose "
     "juan julia karen klaus laura linda lucas lucia luis maria marie mark markus martin mary mia michel miguel monica nina olga omar otto pablo paul pedro "
     "peter philip pierre rachel ruth sara sarah simon sofia sophie stefan steven susan sven teresa thomas wei yuki".split()
 )
-WORDS_CJK = frozenset(
-    "高興 高度 高級 方法 方便 方向 方式 江水 馬上 馬路 周末 周圍 周年 夏天 夏季 林木 黃色 黃昏 黃金 白天 白色 白板 金錢 金屬 金融 石頭 溫度 溫柔 溫暖 葉子 葉片 施工 洪水 許多 許願 田野 任何 任務 程式 程度 顏色 包裹 包括 包裝 "
-    "文章 文化 水果 安全 安靜 和平 孔雀 雷聲 雷雨 湯匙 毛巾 毛衣 龍頭 車站 張開 張貼 陳列 陳舊 楊柳 孫子 胡椒 胡說 何時 何處 何必 鄭重 謝意 謝謝 宋朝 唐詩 曾經 董事 余地 杜鵑 蘇打 丁香 沈重 沈默 姜餅 鍾愛 陸地 陸續 汪洋 武術 武器 "
-    "莫非 莫名 向來 向前 史料 陶器 黎明 賀卡 顧客 萬一 萬分 錢包 嚴格 嚴重 童年 康復 季節 符號 祝福 岳父 景色 單字 單位 卓越 牛奶 申請 管理 路上 路邊 關於 關係 關門 簡單 成功 成為 成員 游泳 游客 歐洲 紀念 紀錄 賴床".split()
-)
 
 
 @lru_cache(1)
@@ -148,16 +150,17 @@ def common_given() -> frozenset[str]:
 
 
 def _plain(word: str) -> str:
-    return word.lower().translate(_PLAIN).strip("'\"().,")
+    return (word.lower() if word.isascii() else word.lower().translate(_PLAIN)).strip("'\"().,")
 
 
 @dataclass(frozen=True)
 class Names:
-    """Words and signs that are known from names: given names, family names, signs of Chinese given names."""
+    """What is known from names: given names, family names, signs of Chinese given names; and words that begin like names."""
 
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
     signs: frozenset[str] = frozenset()
+    words: frozenset[str] = frozenset()
 
 
 def _latin_spans(text: str) -> Iterator[tuple[int, int, list[re.Match], str, str]]:
@@ -206,10 +209,10 @@ def _cjk_spans(text: str) -> Iterator[tuple[int, int]]:
 
 def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[float]]]:
     """Overlapping spans with their kinds and features. All places are those of the given text."""
-    same = text.translate(_WIDTH)
-    latin = CJK.sub("·", same)
+    same = text if text.isascii() else text.translate(_WIDTH)
+    latin = same if same.isascii() else CJK.sub("·", same)
     out = []
-    emails = [m.span() for m in EMAIL.finditer(latin)] if "@" in latin or "at" in latin.lower() else []
+    emails = [m.span() for m in EMAIL.finditer(latin)] if WRITTEN_AT.search(latin) else []
     spans = {(*m, "email") for m in emails}
     if DIGIT.search(latin):
         spans |= {(m.start(), m.end(), "phone") for m in PHONE.finditer(latin) if sum(map(str.isdigit, m[0])) >= 7}
@@ -225,7 +228,7 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[float]
         f[AT["in_email"]] = float(any(b <= begin and end <= e for b, e in emails))
         _name_features(f, same, begin, end, words, before, behind, names)
         out.append((begin, end, "name", f))
-    for begin, end in _cjk_spans(same):
+    for begin, end in _cjk_spans(same) if latin is not same else ():
         f = _context(same, begin, end, "name")
         _cjk_features(f, same, begin, end, names)
         out.append((begin, end, "name", f))
@@ -305,7 +308,7 @@ def _cjk_features(f: list[float], text: str, begin: int, end: int, names: Names)
     f[AT["cjk_known"]] = sum(c in names.signs for c in own) / len(own)
     f[AT["cjk_before"]], f[AT["cjk_behind"]] = float(left in BEFORE_CJK), float(right in BEHIND_CJK)
     f[AT["cjk_edge"]] = float(not CJK.match(left)) + 2.0 * float(not CJK.match(right))
-    f[AT["cjk_inner"]], f[AT["cjk_word"]] = float(bool(INNER_CJK.search(own))), float(text[begin : begin + 2] in WORDS_CJK) + 2.0 * float(text[end - 1 : end + 1] in WORDS_CJK)
+    f[AT["cjk_inner"]], f[AT["cjk_word"]] = float(bool(INNER_CJK.search(own))), float(text[begin : begin + 2] in names.words) + 2.0 * float(text[end - 1 : end + 1] in names.words)
     f[AT["title"]] = float(bool(TITLE_CJK.match(text, end)))
 
 
@@ -323,7 +326,7 @@ def _spread(batches: Iterator[pd.DataFrame], keys: list[str], names: Names) -> I
     for batch in batches:
         rows = []
         for *key, text, known in batch.itertuples(index=False, name=None):
-            here = names if known is None else Names(names.given | {w[1:] for w in known if w[0] == "g"}, names.family | {w[1:] for w in known if w[0] == "f"}, names.signs)
+            here = names if known is None else Names(names.given | {w[1:] for w in known if w[0] == "g"}, names.family | {w[1:] for w in known if w[0] == "f"}, names.signs, names.words)
             rows += [(*key, *c) for c in candidates(text, here)]
             if len(rows) > 4000:
                 yield pd.DataFrame(rows, columns=columns)
@@ -348,11 +351,12 @@ class Redactor:
         self.model, self.thresholds, self.names, self.listed = model, thresholds, names, listed
 
     @classmethod
-    def fit(cls, spark: SparkSession, people: DataFrame | None = None, name: str = "name", seed: int = 11) -> Redactor:
+    def fit(cls, spark: SparkSession, people: DataFrame | None = None, name: str = "name", texts: DataFrame | None = None, text: str = "text", seed: int = 11) -> Redactor:
         """Trees fitted on MOST_EXAMPLES texts made of four of five frames; thresholds from those of the fifth: for each kind, of
         those with the best balance of right and missed spans, the one nearest to one half. ``people`` is a table whose
-        ``name`` column teaches given names, family names and the signs of Chinese given names."""
-        fixed = Names(common_given(), KNOWN_FAMILY, GIVEN_CJK)
+        ``name`` column teaches given names, family names and the signs of Chinese given names; ``texts`` teaches which pairs
+        of signs are words that only begin like names."""
+        fixed = Names(common_given(), KNOWN_FAMILY, GIVEN_CJK, KNOWN_WORDS)
         made = spark.range(MOST_EXAMPLES).repartition(8).mapInPandas(lambda b: _made(b, seed, fixed), "held boolean, kind string, features array<float>, label double")
         made = cut_lineage(made)
         vectors = made.withColumn("vector", array_to_vector("features"))
@@ -360,15 +364,18 @@ class Redactor:
         model = trees.fit(vectors.filter("not held").coalesce(2))
         scored = model.transform(vectors.filter("held")).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
         thresholds = {kind: _threshold(scored[scored.kind == kind]) for kind in KINDS}
-        if people is None:
-            return cls(model, thresholds, fixed)
-        signs = frozenset(r["sign"] for r in _name_signs(people, name).collect())  # not more than there are signs
-        listed = cut_lineage(name_words(people, name))
-        if listed.count() > MOST_HANDED:
-            return cls(model, thresholds, Names(fixed.given, fixed.family, fixed.signs | signs), listed)
-        handed = [r["word"] for r in listed.collect()]
-        given, family = (frozenset(w[1:] for w in handed if w[0] == k) for k in "gf")
-        return cls(model, thresholds, Names(fixed.given | given, family, fixed.signs | signs))
+        given, family, signs, listed = frozenset(), frozenset(), fixed.signs, None
+        if people is not None:
+            signs |= {r["sign"] for r in _name_signs(people, name).collect()}  # not more than there are signs
+            listed = cut_lineage(name_words(people, name))
+            if listed.count() <= MOST_HANDED:
+                handed = [r["word"] for r in listed.collect()]
+                given, family = (frozenset(w[1:] for w in handed if w[0] == k) for k in "gf")
+                listed = None
+        words = frozenset(CWORDS)
+        if texts is not None:
+            words |= {r["word"] for r in common_words(texts, text, signs).collect()}  # pairs of a family name's sign and another
+        return cls(model, thresholds, Names(fixed.given | given, family, signs, words), listed)
 
     def _known(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """Adds the listed words that occur in each text as ``_known``; null where all are handed to the tasks."""
@@ -448,6 +455,15 @@ def name_words(people: DataFrame, name: str) -> DataFrame:
 
 
 def _name_signs(people: DataFrame, name: str) -> DataFrame:
-    """``sign``: signs that stand behind the first in SUPPORT Chinese names or more."""
+    """``sign``: signs that stand behind the first in two Chinese names or more."""
     names = people.select(F.regexp_replace(name, "[ ·・]", "").alias("n")).filter(F.col("n").rlike("^[\u4e00-\u9fff]{2,4}$")).distinct()
-    return names.select(F.explode(F.split(F.substring("n", 2, 3), "")).alias("sign")).groupBy("sign").count().filter(F.col("count") >= SUPPORT).select("sign")
+    return names.select(F.explode(F.split(F.substring("n", 2, 3), "")).alias("sign")).groupBy("sign").count().filter("count > 1 and sign != ''").select("sign")
+
+
+def common_words(texts: DataFrame, text: str, signs: frozenset[str]) -> DataFrame:
+    """``word``: pairs of signs that begin like a Chinese name, but stand in the texts WORD_COUNT times or more and in no more
+    than NAME_SHARE of these before a sign of given names."""
+    grams = texts.select(F.explode(F.regexp_extract_all(text, F.lit(f"([{''.join(sorted(SURNAMES))}][一-鿿][一-鿿]?)"), 1)).alias("gram"))
+    named = F.col("gram").rlike(f"^..[{''.join(sorted(signs))}]").cast("int")
+    each = grams.groupBy(F.substring("gram", 1, 2).alias("word")).agg(F.count("*").alias("n"), F.avg(named).alias("share"))
+    return each.filter((F.col("n") >= WORD_COUNT) & (F.col("share") <= NAME_SHARE)).select("word")

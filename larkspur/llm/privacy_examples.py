@@ -40,6 +40,8 @@ mail room, floor [n]|The address is unknown.|phone off|Wi-Fi: [lword][n]|Platfor
 row [n] col [n] = [n][n][n]|Each Spring the River rises.|Schöne Grüße aus [town]|Todo cambia con el Tiempo|Un Día en [town]|Les Jardins de [town]"""
 GIVEN = "Laura Thomas Jane Peter Robert Isabella Christopher Deborah Nicholas Margaret Benjamin Eleanor Gabriel Charlotte William Samantha Victoria Francisco Ursula Henry Daniela Theodore Matilda Sam Kate Tim Debbie Bob Nick Meg Ben Nell".split()
 UNLISTED = "Zbigniew Oluwaseun Ingrid Takumi Priya Anselm Beatriz Yewande Torsten Milica Kasimir Noor Esperanza Lotte Jarek Amina Siobhan Ravi Leocadia Hamza".split()
+#: Family names made of syllables, like none that is listed.
+SYLLABLES = "ba be do fen gar hol ik jan kel lor mun nav ost per ril sab tov uk vel wim yar zed".split()
 FAMILY = "Abernathy Bellweather Castellano Drummond Eversleigh Falkenrath Gonzaga Hartnell Iverson Jankowski Kestrelli Lindqvist Montague Nakamura Ostrander Pellegrino Quimby Rosenthal Szymanski Thackeray Kowalski Weatherby Okonkwo Brandvold Delacroix O'Hara Villanueva Stein Haas Moreau".split()
 #: Family names of the examples that count as known; so do those learnt from a table of people.
 KNOWN_FAMILY = frozenset(f.lower() for f in FAMILY[::2])
@@ -56,6 +58,8 @@ CWORDS = (
     "安靜 和平 孔雀 雷聲 雷雨 湯匙 毛巾 毛衣 龍頭 車站 張開 張貼 陳列 楊柳 孫子 胡椒 何時 何處 羅盤 鄭重 謝意 宋朝 唐詩 曾經 董事 余地 杜鵑 蘇打 丁香 沈重 沈默 姜餅 鍾愛 陸地 陸續 汪洋 武術 戴上 莫非 向前 "
     "史料 陶器 黎明 賀卡 顧客 萬一 錢包 嚴格 嚴重 童年 康復 季節 常常 符號 房間 紀念 紀錄 賴床 游泳 歐洲 管理 時間 成員 關於 簡單 申請 牛奶 尤其 祝福 景色 單字 焦點 容易 印象 李子 王子 王國 吳語"
 ).split()
+#: Two of three of these words count as known in the examples.
+KNOWN_WORDS = frozenset(w for k, w in enumerate(CWORDS) if k % 3)
 CPLACES = "金門 高雄 馬祖 林口 黃山 江南 方家村 石門 白河 田中 金山 溫州 洪湖 台北 花蓮 東港 南灣 新北".split()
 
 
@@ -101,15 +105,17 @@ def _address(r: random.Random) -> str:
 def _name(r: random.Random) -> tuple[str, str]:
     """A title or nothing, and the name."""
     given, family = r.choice(GIVEN if r.random() < 0.7 else UNLISTED), r.choice(FAMILY)
-    name = r.choice([f"{given} {family}"] * 5 + [given, given, f"{given[0]}. {family}", f"{family}, {given}", f"{given} {r.choice('ABCDEF')}. {family}", f"{family}, {given[0]}."])
+    if r.random() < 0.3:
+        family = "".join(r.choice(SYLLABLES) for _ in range(r.randint(2, 4))).capitalize()
+    name = r.choice([f"{given} {family}"] * 5 + [given, given, f"{given[0]}. {family}", f"{given[0]}. {family}", f"{family}, {given}", f"{given} {r.choice('ABCDEF')}. {family}", f"{family}, {given[0]}."])
     title = ""
-    if r.random() < 0.15:
-        title, name = r.choice(["Dr. ", "Mrs ", "Mr ", "Mr. ", "Prof. ", "Ms ", "Frau ", "Herr ", "Mme ", "Coach "]), r.choice([family, f"{given} {family}"])
+    if r.random() < 0.22:
+        title, name = r.choice(["Dr. ", "Mrs ", "Mr ", "Mr. ", "Prof. ", "Ms ", "Frau ", "Herr ", "Mme ", "Coach ", "Dr. ", "Mrs. "]), r.choice([family, f"{given} {family}"])
     return title, name.upper() if r.random() < 0.1 and "." not in name else name
 
 
 def _cjk_name(r: random.Random) -> str:
-    signs = CJK_GIVEN if r.random() < 0.85 else CJK_SELDOM
+    signs = CJK_GIVEN if r.random() < 0.93 else CJK_SELDOM
     first = r.choice(COMPOUND) if r.random() < 0.05 else r.choice(CJK_FAMILY)
     return first + "".join(r.choice(signs) for _ in range(1 if r.random() < 0.12 else 2))
 

@@ -48,7 +48,8 @@ def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _redactor(spark: SparkSession, sf_dir: str) -> privacy.Redactor:
-    return privacy.Redactor.fit(spark, table(spark, sf_dir, "persons"))
+    spellings = table(spark, sf_dir, "persons").select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).distinct()
+    return privacy.Redactor.fit(spark, spellings, "name", _personal_texts(spark, sf_dir), "text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
