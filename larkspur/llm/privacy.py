@@ -15,11 +15,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from larkspur.llm.privacy_examples import CJK_GIVEN, COMPOUND, CWORDS, KNOWN_FAMILY, KNOWN_WORDS, example
 from larkspur.llm.variants import NICKNAMES
@@ -89,11 +93,13 @@ INNER_CJK = re.compile("[和的是在說比了著過就也把被很與跟一這
 
 _WIDTH = {0xFF01 + k: 0x21 + k for k in range(94)} | {c: 0x20 for c in (0xA0, 0x3000, 0x2007, 0x2009, 0x202F)} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012)}
 
+WIDE = re.compile("[！-～\u00a0\u2007\u2009-\u2012\u202f\u3000]")
 _HOST = r"[\w-]+(?:\.[\w-]+)*"
 EMAIL = re.compile(
     rf"[\w.+%-]+(?:(?:\s?@\s?|\s?[(\[{{]\s?at\s?[)\]}}]\s?){_HOST}(?:\s?[(\[]?\s?dot\s?[)\]]?\s?[\w-]+)*|\sat\s[\w-]+(?:\sdot\s[\w-]+)+)", re.A | re.I
 )
-WRITTEN_AT = re.compile(r"@|\bat\s?[)\]}]|\sdot\s", re.I)
+#: One of these is in every address without an at sign.
+WRITTEN_AT = ("at)", "at]", "at}", "at )", "at ]", "at }", " dot ")
 PHONE = re.compile(r"(?<![\d])(?:\+\s?)?\(?\d[\d() ./-]{5,22}\d(?:\s?(?:ext\.?|x|#)\s?\d{1,5})?")
 IDENT = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:[A-Z]{2}[ -]?|[A-Za-z]{1,2}-?)\d(?:[ -]?\d){4,10}(?:[ -]?[A-Z]|[a-z])?|\d{3}[ -]\d{2}[ -]\d{4}|\d{6,10}[ -]?[A-Za-z]|[A-Z]\d{2}[A-Z]{2}\d{2}[A-Z]\d)(?![A-Za-z0-9])"
@@ -209,16 +215,17 @@ def _cjk_spans(text: str) -> Iterator[tuple[int, int]]:
 
 def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[float]]]:
     """Overlapping spans with their kinds and features. All places are those of the given text."""
-    same = text if text.isascii() else text.translate(_WIDTH)
+    same = text.translate(_WIDTH) if WIDE.search(text) else text
     latin = same if same.isascii() else CJK.sub("·", same)
     out = []
-    emails = [m.span() for m in EMAIL.finditer(latin)] if WRITTEN_AT.search(latin) else []
+    emails = [m.span() for m in EMAIL.finditer(latin)] if "@" in latin or any(x in latin.lower() for x in WRITTEN_AT) else []
     spans = {(*m, "email") for m in emails}
     if DIGIT.search(latin):
         spans |= {(m.start(), m.end(), "phone") for m in PHONE.finditer(latin) if sum(map(str.isdigit, m[0])) >= 7}
         spans |= {(m.start(), m.end(), "id") for m in IDENT.finditer(latin) if sum(map(str.isdigit, m[0])) >= 5}
         spans |= {(m.start(), m.end(), "address") for rx in ADDRESS for m in rx.finditer(latin)}
-        spans |= {(m.start(), m.end(), "address") for m in CJK_ADDRESS.finditer(same)}
+        if "號" in same or "号" in same:
+            spans |= {(m.start(), m.end(), "address") for m in CJK_ADDRESS.finditer(same)}
     for begin, end, kind in sorted(spans):
         f = _context(same, begin, end, kind)
         (_number_features if kind in ("phone", "id") else _email_features if kind == "email" else _address_features)(f, same[begin:end], kind)
@@ -321,17 +328,22 @@ def best_spans(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return sorted(taken)
 
 
-def _spread(batches: Iterator[pd.DataFrame], keys: list[str], names: Names) -> Iterator[pd.DataFrame]:
-    columns = [*keys, "_begin", "_end", "_kind", "_features"]
+def _spread(batches: Iterator[pa.RecordBatch], names: Names, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Candidates of each text: its keys, places, kind and features. The last two columns are the text and its known words."""
     for batch in batches:
-        rows = []
-        for *key, text, known in batch.itertuples(index=False, name=None):
-            here = names if known is None else Names(names.given | {w[1:] for w in known if w[0] == "g"}, names.family | {w[1:] for w in known if w[0] == "f"}, names.signs, names.words)
-            rows += [(*key, *c) for c in candidates(text, here)]
-            if len(rows) > 4000:
-                yield pd.DataFrame(rows, columns=columns)
-                rows = []
-        yield pd.DataFrame(rows, columns=columns)
+        texts, knowns = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+        for first in range(0, len(texts), 512):
+            owner, begins, ends, kinds, flat = [], [], [], [], []
+            for row, (text, known) in enumerate(zip(texts[first : first + 512], knowns[first : first + 512]), first):
+                here = names if known is None else Names(names.given | {w[1:] for w in known if w[0] == "g"}, names.family | {w[1:] for w in known if w[0] == "f"}, names.signs, names.words)
+                for begin, end, kind, features in candidates(text, here):
+                    owner.append(row), begins.append(begin), ends.append(end), kinds.append(kind)
+                    flat += features
+            offsets = pa.array(np.arange(len(owner) + 1, dtype=np.int32) * len(FEATURES))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.array(flat, np.float32)))
+            keys = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(batch.num_columns - 2)]
+            columns = [*keys, pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string()), lists]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _made(batches: Iterator[pd.DataFrame], seed: int, names: Names) -> Iterator[pd.DataFrame]:
@@ -392,7 +404,9 @@ class Redactor:
         kinds = "".join(f"`{k}` {texts.schema[k].dataType.simpleString()}, " for k in keys)
         names = self.names
         rows = self._known(texts.select(*keys, F.col(text).alias("_text")).filter(F.char_length("_text") > 0), keys)
-        found = rows.mapInPandas(lambda b: _spread(b, keys, names), kinds + "_begin int, _end int, _kind string, _features array<float>")
+        kinds += "_begin int, _end int, _kind string, _features array<float>"
+        schema = to_arrow_schema(StructType.fromDDL(kinds))
+        found = rows.mapInArrow(lambda b: _spread(b, names, schema), kinds)
         scored = self.model.transform(found.withColumn("vector", array_to_vector("_features")))
         sure = scored.select(*keys, "_begin", "_end", "_kind", vector_to_array("probability")[1].alias("_p"))
         enough = F.element_at(F.create_map(*(F.lit(x) for kv in self.thresholds.items() for x in kv)), F.col("_kind"))
@@ -463,7 +477,9 @@ def _name_signs(people: DataFrame, name: str) -> DataFrame:
 def common_words(texts: DataFrame, text: str, signs: frozenset[str]) -> DataFrame:
     """``word``: pairs of signs that begin like a Chinese name, but stand in the texts WORD_COUNT times or more and in no more
     than NAME_SHARE of these before a sign of given names."""
-    grams = texts.select(F.explode(F.regexp_extract_all(text, F.lit(f"([{''.join(sorted(SURNAMES))}][一-鿿][一-鿿]?)"), 1)).alias("gram"))
-    named = F.col("gram").rlike(f"^..[{''.join(sorted(signs))}]").cast("int")
+    runs = F.regexp_extract_all(text, F.lit("([一-鿿]{2,})"), 1)
+    three = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, 3))))
+    grams = texts.select(F.explode(F.filter(three, lambda g: F.substring(g, 1, 1).isin(*sorted(SURNAMES)))).alias("gram"))
+    named = F.substring("gram", 3, 1).isin(*sorted(signs)).cast("int")
     each = grams.groupBy(F.substring("gram", 1, 2).alias("word")).agg(F.count("*").alias("n"), F.avg(named).alias("share"))
     return each.filter((F.col("n") >= WORD_COUNT) & (F.col("share") <= NAME_SHARE)).select("word")
