@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.session import cut_lineage
@@ -12,8 +12,6 @@ from larkspur.session import cut_lineage
 # How much a hit by each pattern counts.
 ONE_HOP = {"mem_location": 2.0, "mem_person": 2.0, "mem_event": 2.0, "mem_period": 1.5}
 TWO_HOPS = {("mem_person", "person_loc", "src"): 1.0, ("mem_event", "event_loc", "src"): 1.0, ("mem_person", "person_event", "src"): 1.0, ("mem_location", "event_loc", "dst"): 0.8}
-#: Terms of queries that every task gets at once.
-MOST_TERMS = 100_000
 #: Labels in the order in which a name is looked for.
 LABELS = ("Person", "Location", "Event", "Period")
 
@@ -34,13 +32,13 @@ def memories_at(edges: DataFrame, when: Column) -> DataFrame:
 
 def pattern_search(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id, path, score``: memories one or two edges away from a node whose name holds a term; every pattern counts
-    once per memory and term. Node names are matched first, so that edges are joined by equal ends only; of the
-    names, each is set against the terms of the queries, which are broadcast in blocks of about MOST_TERMS."""
+    once per memory and term. Node names are matched first, so that edges are joined by equal ends only. Names and
+    terms (of two characters or more) meet in a pair of characters that both have; the whole term is then looked for."""
     ends = edges.select(F.col("dst_label").alias("label"), F.col("dst").alias("name")).unionByName(edges.filter("src_label != 'Memory'").select(F.col("src_label").alias("label"), F.col("src").alias("name"))).distinct()
-    asked = cut_lineage(terms.select("query_id", "term").distinct())
-    blocks = max(1, -(-asked.count() // MOST_TERMS))
-    by_block = [ends.join(F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id", "term"), F.lit(blocks)) == k)), F.col("name").contains(F.col("term"))) for k in range(blocks)]
-    hits = cut_lineage(reduce(DataFrame.unionByName, by_block))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("name") - 1), lambda i: F.substring("name", i, 2)))
+    held = ends.filter(F.char_length("name") > 1).select("label", "name", F.explode(pairs).alias("_pair"))
+    asked = terms.filter(F.char_length("term") > 1).select("query_id", "term", F.substring("term", 1, 2).alias("_pair")).distinct()
+    hits = cut_lineage(held.join(asked, "_pair").filter(F.col("name").contains(F.col("term"))).select("label", "name", "query_id", "term"))
     found = []
     for rel, weight in ONE_HOP.items():
         one = edges.filter(F.col("rel") == rel).select(F.col("src").alias("path"), F.col("dst_label").alias("label"), F.col("dst").alias("name")).distinct()
@@ -65,23 +63,49 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.15, iterations: int = 10, keep_every: int = 3) -> DataFrame:
-    """``query_id, node, score`` after some steps of p = (1 - d) t + d M'p over the undirected graph, t spread evenly over the
-    seeds (``query_id, node``) that are in it. Each step is one join on the node and one aggregation; the lineage
-    is cut every few steps."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.15, tolerance: float = 1e-7, most_steps: int = 100, keep_every: int = 3) -> DataFrame:
+    """``query_id, node, score``, the fixed point of p = (1 - d) t + d M'p over the undirected graph, t spread evenly over the
+    seeds (``query_id, node``) that are in it. Each step is one join on the node and one aggregation; every few steps
+    the ranks are written and compared with those written before: it ends where the differences sum up to less than
+    ``tolerance`` for every query, and raises where ``most_steps`` don't suffice. Nodes are in the graph by their edges, so none dangles."""
     links = undirected(edges)
     degree = links.groupBy("a").agg(F.count("*").alias("deg"))
     links = cut_lineage(links.join(degree, "a").select("a", "b", (1.0 / F.col("deg")).alias("share")))
-    inside = seeds.distinct().join(degree.select(F.col("a").alias("node")), "node", "left_semi")
+    inside = seeds.distinct().join(links.select(F.col("a").alias("node")), "node", "left_semi")
     count = inside.groupBy("query_id").agg(F.count("*").alias("n"))
     start = cut_lineage(inside.join(count, "query_id").select("query_id", "node", (1.0 / F.col("n")).alias("t")))
-    ranks = start.select("query_id", "node", F.col("t").alias("p"))
-    for step in range(iterations):
+    ranks = before = start.select("query_id", "node", F.col("t").alias("p"))
+    for step in range(1, most_steps + 1):
         moved = ranks.join(links, ranks.node == links.a).select("query_id", F.col("b").alias("node"), (damping * F.col("p") * F.col("share")).alias("p"))
         ranks = moved.unionByName(start.select("query_id", "node", ((1 - damping) * F.col("t")).alias("p"))).groupBy("query_id", "node").agg(F.sum("p").alias("p"))
-        if (step + 1) % keep_every == 0:
+        if step % keep_every == 0:
             ranks = cut_lineage(ranks)
-    return ranks.select("query_id", "node", F.col("p").alias("score"))
+            both = ranks.unionByName(before.select("query_id", "node", (-F.col("p")).alias("p"))).groupBy("query_id", "node").agg(F.abs(F.sum("p")).alias("d"))
+            most = both.groupBy("query_id").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0]
+            if most is None or most < tolerance:
+                return ranks.select("query_id", "node", F.col("p").alias("score"))
+            before = ranks
+    raise RuntimeError(f"activation still spreads after {most_steps} steps")
+
+
+def seed_nodes(edges: DataFrame, paths: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``query_id, node`` for spreading: memories (``query_id, path``) and, of entity names (``query_id, name``), the node under the
+    first label that has one of that name."""
+    seeds = paths.select("query_id", node_id(F.lit("Memory"), "path").alias("node"))
+    if names is None:
+        return seeds.distinct()
+    ends = edges.select(F.col("src_label").alias("label"), F.col("src").alias("name")).unionByName(edges.select(F.col("dst_label").alias("label"), F.col("dst").alias("name"))).filter(F.col("label").isin(*LABELS)).distinct()
+    order = reduce(lambda c, k: c.when(F.col("label") == LABELS[k], k), range(1, len(LABELS)), F.when(F.col("label") == LABELS[0], 0))
+    first = names.select("query_id", "name").join(ends, "name").groupBy("query_id", "name").agg(F.min_by("label", order).alias("label"))
+    return seeds.unionByName(first.select("query_id", node_id("label", "name").alias("node"))).distinct()
+
+
+def spreading_activation(edges: DataFrame, seeds: DataFrame, top_k: int = 15, **steps: object) -> DataFrame:
+    """``query_id, path, score, rank``: the memories that most of what spreads from the seeds reaches, the seeds themselves left out."""
+    spread = personalised_pagerank(edges, seeds, **steps).filter(F.col("node").startswith("Memory:")).join(seeds, ["query_id", "node"], "left_anti")
+    scored = spread.select("query_id", F.substring(F.col("node"), 8, 10_000).alias("path"), F.round("score", 9).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("path")))
+    return scored.withColumn("rank", place).filter(F.col("rank") <= top_k)
 
 
 def timeline(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,40 +1,109 @@
-"""Inverted index over token tables and BM25 scores."""
+"""A kept inverted index over token tables and BM25 scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
-from larkspur.session import cut_lineage
+from larkspur.session import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Folders that the postings are divided into by token; a search reads those of its tokens.
+BUCKETS = 32
+#: Parts of a bucket that are written side by side, so that a token of very many texts is not one task's work.
+PARTS = 4
+
+
+def _bucket(tok: str = "tok"):
+    return F.pmod(F.xxhash64(tok), F.lit(BUCKETS)).cast("int")
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, len, tok, tf``: how often each token is in each text, with the text's length in tokens."""
-    listed = texts.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_toks"))
-    return listed.select(key, F.size("_toks").alias("len"), F.explode("_toks").alias("tok")).groupBy(key, "len", "tok").agg(F.count("*").alias("tf"))
+    return _postings(texts, key, text).select(key, "len", "tok", "tf")
+
+
+def _postings(texts: DataFrame, key: str, text: str) -> DataFrame:
+    listed = spread(texts.select(key, text)).select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_toks"))
+    rows = listed.select(key, F.size("_toks").alias("len"), F.explode("_toks").alias("tok"))
+    rows = rows.withColumns({"bucket": _bucket(), "_part": F.pmod(F.xxhash64(key), F.lit(PARTS))}).repartition("bucket", "_part")
+    return rows.groupBy("bucket", "_part", key, "len", "tok").agg(F.count("*").alias("tf"))
 
 
 def token_statistics(index: DataFrame, n_texts: int) -> DataFrame:
     """``tok, df, _raw``: in how many texts each token is, and its inverse frequency before negative ones are replaced."""
     df = index.groupBy("tok").agg(F.count("*").alias("df"))
-    return df.withColumn("_raw", F.log(n_texts - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-
-
-def bm25(texts: DataFrame, key: str, text: str, queries: DataFrame, query: str) -> DataFrame:
-    """``query_id, key, score`` of every text with a positive score. ``queries`` has ``query_id`` and a text; a token
-    that a query repeats counts as often. The postings are written once and read for the statistics, which cover
-    all texts, and for the tokens of the queries. Negative inverse frequencies become EPSILON times the mean over
-    the vocabulary; null texts and queries have no tokens."""
-    index = cut_lineage(postings(texts, key, text))
-    whole = index.agg(F.countDistinct(key).alias("n"), F.sum("tf").alias("total")).first()
-    n, mean_length = whole["n"], (whole["total"] or 0) / max(1, whole["n"])
-    asked = queries.select("query_id", F.explode(tokens(F.coalesce(F.col(query), F.lit("")))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("_times"))
-    statistics = token_statistics(index, n)
-    mean = statistics.agg(F.avg("_raw")).first()[0] or 0.0
-    weights = asked.join(statistics, "tok").select("query_id", "tok", "_times", F.when(F.col("_raw") < 0, EPSILON * mean).otherwise(F.col("_raw")).alias("idf"))
-    tf = F.col("tf").cast("double")
-    gain = F.col("_times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean_length))
-    return index.join(weights, "tok").groupBy("query_id", key).agg(F.sum(gain).alias("score")).filter("score > 0")
+    return df.withColumn("_raw", _raw(F.lit(n_texts)))
+
+
+def _raw(n):
+    return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Postings in folders by token, how many texts have each token, the texts with their lengths, and one row of figures
+    for each time that something was added."""
+
+    spark: SparkSession
+    folder: str
+    key: str
+
+    @classmethod
+    def build(cls, texts: DataFrame, key: str, text: str, folder: str) -> LexicalIndex:
+        """A new index at ``folder``. ``key`` tells the texts apart; null texts have no tokens and so no place in it."""
+        index = cls(texts.sparkSession, folder, key)
+        index._add(texts, text)
+        return index
+
+    def append(self, texts: DataFrame, text: str) -> None:
+        """Adds the texts whose keys aren't in the index yet; what is delivered again adds nothing."""
+        self._add(texts.dropDuplicates([self.key]).join(self._read("lengths").select(self.key), self.key, "left_anti"), text)
+
+    def _read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{part}")
+
+    def _add(self, texts: DataFrame, text: str) -> None:
+        step = self._version() + 1
+        at = lambda part: f"{self.folder}/{part}/step={step}"
+        _postings(texts, self.key, text).drop("_part").write.partitionBy("bucket").parquet(at("postings"))
+        added = self.spark.read.parquet(at("postings"))
+        added.groupBy("tok").agg(F.count("*").alias("df")).withColumn("bucket", _bucket()).write.parquet(at("terms"))
+        added.select(self.key, "len").distinct().write.parquet(at("lengths"))
+        sizes = self._read("lengths").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+        n = sizes.first()["n"]
+        vocabulary = self._read("terms").groupBy("tok").agg(F.sum("df").alias("df")).agg(F.avg(_raw(F.lit(n))).alias("mean"), F.count("*").alias("n_terms"))
+        sizes.crossJoin(vocabulary).write.parquet(at("figures"))
+
+    def _version(self) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/figures")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return -1
+        return self.figures()["step"]
+
+    def figures(self) -> dict:
+        """``n`` texts with ``total`` tokens, ``n_terms`` different ones, ``mean`` of their inverse frequencies."""
+        return self._read("figures").orderBy(F.desc("step")).first().asDict()
+
+    def postings(self) -> DataFrame:
+        return self._read("postings")
+
+    def search(self, queries: DataFrame, query: str) -> DataFrame:
+        """``query_id, key, score`` of every text with a positive score. ``queries`` has ``query_id`` and a text; a token
+        that a query repeats counts as often. Negative inverse frequencies become EPSILON times the mean over
+        the vocabulary; null queries have no tokens. Only the folders of the queries' tokens are read."""
+        figures = self.figures()
+        n, mean_length = figures["n"], (figures["total"] or 0) / max(1, figures["n"])
+        asked = queries.select("query_id", F.explode(tokens(F.coalesce(F.col(query), F.lit("")))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("_times"))
+        asked = asked.withColumn("bucket", _bucket())
+        buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # not more than BUCKETS
+        terms = self._read("terms").filter(F.col("bucket").isin(buckets)).join(asked.select("tok").distinct(), "tok", "left_semi")
+        statistics = terms.groupBy("tok").agg(F.sum("df").alias("df")).withColumn("_raw", _raw(F.lit(n)))
+        weights = asked.join(statistics, "tok").select("query_id", "tok", "bucket", "_times", F.when(F.col("_raw") < 0, EPSILON * (figures["mean"] or 0.0)).otherwise(F.col("_raw")).alias("idf"))
+        tf = F.col("tf").cast("double")
+        gain = F.col("_times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean_length))
+        read = self.postings().filter(F.col("bucket").isin(buckets))
+        return read.join(weights, ["bucket", "tok"]).groupBy("query_id", self.key).agg(F.sum(gain).alias("score")).filter("score > 0")

@@ -23,12 +23,21 @@ def accesses(events: DataFrame) -> DataFrame:
     return events.filter("memory_path is not null and accessed_at is not null").select("id", plain_path(F.col("memory_path")).alias("memory_path"), "accessed_at", "source").dropDuplicates(["id"])
 
 
+#: Items of a session that one row pairs with those behind them.
+BLOCK = 256
+
+
 def co_recalled(events: DataFrame, session: Column, item: str, least: int = 3) -> DataFrame:
-    """``a, b, strength``: pairs of items in the same session, the smaller first, with the sessions they share."""
-    baskets = events.select(session.alias("_s"), F.col(item).alias("_i")).dropna().groupBy("_s").agg(F.array_sort(F.collect_set("_i")).alias("_items")).filter(F.size("_items") > 1)
+    """``a, b, strength``: pairs of items in the same session, the smaller first, with the sessions they share. Sessions with the
+    same items are paired once; items that are in fewer than ``least`` sessions go before; a large session is paired in blocks."""
+    rows = events.select(session.alias("_s"), F.col(item).alias("_i")).dropna().distinct()
+    often = rows.groupBy("_i").count().filter(F.col("count") >= least).select("_i")
+    baskets = rows.join(often, "_i", "left_semi").groupBy("_s").agg(F.array_sort(F.collect_set("_i")).alias("_items")).filter(F.size("_items") > 1)
     collapsed = baskets.groupBy("_items").agg(F.count("*").alias("_w"))
-    firsts = collapsed.select("_items", "_w", F.posexplode("_items").alias("_k", "a"))
-    pairs = firsts.filter(F.col("_k") < F.size("_items") - 1).select("a", F.explode(F.slice("_items", F.col("_k") + 2, F.size("_items"))).alias("b"), "_w")
+    blocks = collapsed.select("_items", "_w", F.explode(F.sequence(F.lit(0), F.floor((F.size("_items") - 1) / BLOCK).cast("int"))).alias("_b"))
+    firsts = blocks.select("_items", "_w", "_b", F.posexplode(F.slice("_items", F.col("_b") * BLOCK + 1, F.lit(BLOCK))).alias("_k", "a"))
+    behind = F.col("_b") * BLOCK + F.col("_k") + 2
+    pairs = firsts.filter(behind <= F.size("_items")).select("a", F.explode(F.slice("_items", behind, F.size("_items"))).alias("b"), "_w")
     return pairs.groupBy("a", "b").agg(F.sum("_w").alias("strength")).filter(F.col("strength") >= least)
 
 
@@ -86,27 +95,6 @@ def validated(rows: DataFrame, source: str) -> DataFrame:
     })
 
 
-def apply_fact_edits(memories: DataFrame, edits: DataFrame) -> DataFrame:
-    """One edit per memory (``memory_path, op, old, new``): add, update or remove a fact. A fact is named by a part of it
-    that must occur in exactly one; else nothing changes. Adds ``before``, ``after`` and ``outcome``."""
-    facts = F.coalesce(F.col("personal_facts"), empty_strings())
-    named = F.filter(facts, lambda f: f.contains(F.col("old")))
-    unique = F.size(named) == 1
-    after = (
-        F.when((F.col("op") == "add") & ~F.array_contains(facts, F.col("new")), F.concat(facts, F.array("new")))
-        .when((F.col("op") == "update") & unique, F.transform(facts, lambda f: F.when(f.contains(F.col("old")), F.col("new")).otherwise(f)))
-        .when((F.col("op") == "remove") & unique, F.filter(facts, lambda f: ~f.contains(F.col("old"))))
-        .otherwise(facts)
-    )
-    changed = ~F.col("before").eqNullSafe(F.col("after"))
-    return memories.join(edits, "memory_path").withColumn("before", facts).withColumn("after", after).withColumn("outcome", F.when(changed, "applied").otherwise("unchanged"))
-
-
-def revert_edits(applied: DataFrame) -> DataFrame:
-    """The lists as they were before the edits, each fact at its old place."""
-    return applied.withColumn("reverted", F.col("before"))
-
-
 def correct_texts(texts: DataFrame, edits: DataFrame) -> DataFrame:
     """Texts with ``old`` replaced by ``new`` where it occurs once: ``text, corrected, risky, outcome``."""
     joined = texts.join(edits, "path").withColumn("corrected", replace_unique(F.col("text"), F.col("old"), F.col("new")))

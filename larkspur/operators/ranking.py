@@ -45,3 +45,30 @@ def blend_activation(ranked: DataFrame, activations: DataFrame, item: str, withi
     joined = ranked.join(activations.select(item, "activation"), item, "left").withColumn("activation", F.coalesce("activation", F.lit(0.0)))
     top = F.max("activation").over(Window.partitionBy(*within))
     return joined.withColumn("score", F.when(top > 0, F.col("score") + weight * F.col("activation") / top).otherwise(F.col("score")))
+
+
+def by_place(ranked: DataFrame) -> DataFrame:
+    """Lists whose own scores aren't comparable (graph hits) scored by place: 1 / rank."""
+    return ranked.withColumn("score", 1.0 / F.col("rank"))
+
+
+def with_confidence(ranked: DataFrame, memberships: DataFrame, routed: DataFrame) -> DataFrame:
+    """Adds ``confidence``, the router's highest score (``query_id, domain, score``) among the domains of the path
+    (``path, domain``; there may be several), null where it chose none of them, and ``surest``, its highest for the query."""
+    own = ranked.select("query_id", "path").join(memberships.select("path", "domain"), "path").join(routed.select("query_id", "domain", F.col("score").alias("_s")), ["query_id", "domain"])
+    best = own.groupBy("query_id", "path").agg(F.max("_s").alias("confidence"))
+    surest = routed.groupBy("query_id").agg(F.max("score").alias("surest"))
+    return ranked.join(best, ["query_id", "path"], "left").join(surest, "query_id", "left")
+
+
+def by_domain(ranked: DataFrame, mode: str, boost: float = 1.3) -> DataFrame:
+    """Scores moved by the router (columns of `with_confidence`): ``hard`` keeps what it chose, where it chose anything;
+    ``flat`` and ``confidence`` raise it; ``penalty`` lowers the rest."""
+    match, score = F.col("confidence").isNotNull(), F.col("score")
+    if mode == "hard":
+        return ranked.filter(match | F.col("surest").isNull())
+    moved = {
+        "flat": flat_boost(score, match, boost), "confidence": confidence_boost(score, match, F.col("confidence")),
+        "penalty": penalty(score, match, F.coalesce("surest", F.lit(0.0))),
+    }
+    return ranked.withColumn("score", moved[mode])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.plans import retrieval, texts, upkeep
+from larkspur.plans import curation, retrieval, texts, upkeep
 from larkspur.plans.registry import Query
 
-PARTS = (texts.R, retrieval.R, upkeep.R)
+PARTS = (texts.R, retrieval.R, upkeep.R, curation.R)
 
 
 def queries() -> dict[str, Query]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates, text
+from larkspur.operators import chunks as C
 from larkspur.operators import lexical
 from larkspur.operators import memories as M
-from larkspur.plans.registry import MEM, TOKENS, Registry
+from larkspur.plans.registry import MEM, TOKENS, Registry, ranges_sql
 
 R = Registry()
 TOK = TOKENS.format("coalesce(text, '')")
@@ -40,32 +41,58 @@ def paragraph_chunks(t):
     return rows.select(F.concat("path", F.lit("::para"), "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", F.char_length("para").alias("n_chars"))
 
 
-@R.add("section_paragraphs")
+CLEAN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, {ENDS}), '(?m)^#{{1,6}}[\\s\\x0b]+', '', 'g'), '(?m)^[-*_]{{3,}}$', '', 'g'), {ENDS})"
+#: Parts under second-level headings, and their paragraphs.
+SECTIONS = f"""
+sp AS (SELECT doc_id, path, regexp_split_to_array(coalesce(text, ''), '(?m)^##[ \\t]+') AS parts FROM documents),
+se AS (SELECT doc_id, path, k - 1 AS section_no, CASE WHEN k = 1 THEN '_default' ELSE regexp_replace(string_split(parts[k], chr(10))[1], {ENDS}) END AS title,
+  CASE WHEN k = 1 THEN parts[k] WHEN contains(parts[k], chr(10)) THEN substr(parts[k], instr(parts[k], chr(10)) + 1) ELSE '' END AS body FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM sp)),
+sq AS (SELECT doc_id, path, section_no, title, list_filter([{CLEAN} for b in regexp_split_to_array(body, '\\n{{2,}}')], lambda b: length(b) >= 25) AS paras FROM se)"""
+
+
+def section_rows(t):
+    parts = t("documents").select("doc_id", "path", F.posexplode(text.sections(F.coalesce("text", F.lit("")))).alias("section_no", "section"))
+    return parts.select("doc_id", "path", "section_no", F.col("section.title").alias("title"), F.posexplode(text.paragraphs(F.col("section.body"))).alias("sibling_order", "para"))
+
+
+@R.add("section_paragraphs", f"WITH {SECTIONS} SELECT doc_id, section_no::int AS section_no, title, (i - 1)::int AS sibling_order, length(paras[i])::int AS n_chars FROM (SELECT *, unnest(range(1, len(paras) + 1)) AS i FROM sq)")
 def section_paragraphs(t):
     """Paragraphs with the second-level section that they stand in and their order there."""
-    parts = t("documents").select("doc_id", F.posexplode(text.sections(F.coalesce("text", F.lit("")))).alias("section_no", "section"))
-    rows = parts.select("doc_id", "section_no", F.col("section.title").alias("title"), F.posexplode(text.paragraphs(F.col("section.body"))).alias("sibling_order", "para"))
-    return rows.select("doc_id", "section_no", "title", "sibling_order", F.char_length("para").alias("n_chars"))
+    return section_rows(t).select("doc_id", "section_no", "title", "sibling_order", F.char_length("para").alias("n_chars"))
 
 
-@R.add("parent_sections", """
-WITH h AS (SELECT DISTINCT result_id, regexp_replace(memory_path, '^_vault/', '') AS path FROM search_results),
-s AS (SELECT path, regexp_split_to_array('\n' || text, '\\n##[ \\t]+')[1] AS first_part FROM documents WHERE text IS NOT NULL)
-SELECT result_id, path, length(first_part) - 1 AS section_chars FROM h JOIN s USING (path)""")
+@R.add("parent_sections", f"""
+WITH {SECTIONS}, h AS (SELECT DISTINCT result_id, regexp_replace(memory_path, '^_vault/', '') AS path FROM search_results), f AS (SELECT path, min(section_no) AS section_no FROM sq WHERE len(paras) > 0 GROUP BY path)
+SELECT result_id, path, title, len(paras)::bigint AS n_paragraphs, md5(array_to_string(paras, chr(10) || chr(10))) AS digest FROM h JOIN f USING (path) JOIN sq USING (path, section_no)""")
 def parent_sections(t):
-    """Each hit with the size of the first section of its document."""
+    """Each hit with the whole section that its document's first chunk stands in, put together again from its paragraphs."""
     hits = t("search_results").select("result_id", text.plain_path(F.col("memory_path")).alias("path")).distinct()
-    first = t("documents").filter("text is not null").select("path", F.char_length(F.element_at(F.split(F.concat(F.lit("\n"), "text"), r"\n##[ \t]+"), 1)).alias("n"))
-    return hits.join(first, "path").select("result_id", "path", (F.col("n") - 1).cast("bigint").alias("section_chars"))
+    return C.parent_sections(hits, section_rows(t)).select("result_id", "path", "title", "n_paragraphs", F.md5("section").alias("digest"))
 
 
-@R.add("section_texts")
+@R.add("section_texts", f"WITH {SECTIONS} SELECT doc_id, section_no::int AS section_no, len(paras)::bigint AS n_paragraphs, md5(array_to_string(paras, chr(10) || chr(10))) AS digest FROM sq WHERE len(paras) > 0")
 def section_texts(t):
     """Sections put together again from their paragraphs, in order."""
-    parts = t("documents").select("doc_id", F.posexplode(text.sections(F.coalesce("text", F.lit("")))).alias("section_no", "section"))
-    paras = parts.select("doc_id", "section_no", F.posexplode(text.paragraphs(F.col("section.body"))).alias("k", "para"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "para"))), lambda s: s["para"]), "\n\n")
-    return paras.groupBy("doc_id", "section_no").agg(F.count("*").alias("n_paragraphs"), F.md5(joined).alias("digest"))
+    whole = C.section_texts(section_rows(t), ["doc_id", "section_no"])
+    return whole.select("doc_id", "section_no", "n_paragraphs", F.md5("section").alias("digest"))
+
+
+@R.add("chunk_table", f"""
+WITH {MEM}, {PARAGRAPHS}, d AS (SELECT p.path, paras, coalesce(mem.summary, '') AS summary, mem.title AS mtitle FROM p LEFT JOIN mem ON mem.path = p.path),
+c AS (SELECT path || '::summary' AS chunk_id, 'summary' AS view, -1 AS chunk_index, CASE WHEN coalesce(mtitle, '') != '' THEN '[' || mtitle || ']' || chr(10) ELSE '' END || regexp_replace(summary, {ENDS}) AS text FROM d WHERE regexp_replace(summary, {ENDS}) != ''
+  UNION ALL SELECT path || '::para' || (i - 1), 'raw', i - 1, CASE WHEN coalesce(mtitle, '') != '' THEN '[' || mtitle || ']' || chr(10) ELSE '' END || CASE WHEN i = 1 AND summary != '' THEN '[語境：' || left(summary, 40) || ']' || chr(10) ELSE '' END || paras[i] FROM (SELECT *, unnest(range(1, len(paras) + 1)) AS i FROM d)
+  UNION ALL SELECT path || '::para0::q' || (k - 1), 'hyqe', 0, qs[k] FROM (SELECT path, qs, unnest(range(1, least(len(qs), 5) + 1)) AS k FROM (
+    SELECT path, list_sort(list(DISTINCT query)) AS qs FROM (SELECT DISTINCT regexp_replace(memory_path, '^_vault/', '') AS path, query FROM search_results WHERE query IS NOT NULL AND query != '') GROUP BY path) WHERE path IN (SELECT path FROM p WHERE len(paras) > 0)))
+SELECT chunk_id, view, chunk_index::int AS chunk_index, md5(text) AS digest FROM c""")
+def chunk_table(t):
+    """Summary, paragraph and question chunks; a memory's summary is the note of its first paragraph, the queries that found it its questions."""
+    m = M.current_memories(t("memories")).select(F.col("memory_path").alias("path"), F.col("title").alias("_title"), F.col("summary").alias("_summary"))
+    docs = t("documents").select("path", "text").join(m, "path", "left")
+    notes = m.filter("_summary != ''").select(F.concat("path", F.lit("::para0")).alias("chunk_id"), F.substring("_summary", 1, 40).alias("note"))
+    hits = t("search_results").filter("query is not null and query != ''").select(text.plain_path(F.col("memory_path")).alias("path"), "query").distinct()
+    questions = hits.groupBy("path").agg(F.array_sort(F.collect_set("query")).alias("questions")).select(F.concat("path", F.lit("::para0")).alias("chunk_id"), "questions")
+    prefix = F.when(F.coalesce("_title", F.lit("")) != "", F.concat(F.lit("["), "_title", F.lit("]")))
+    return C.build_chunks(docs, prefix, F.col("_summary"), notes, questions).select("chunk_id", "view", "chunk_index", F.md5("text").alias("digest"))
 
 
 @R.add("chunk_prefix", f"""
@@ -127,11 +154,10 @@ def stem_dates(t):
     return t("documents").select("doc_id", dates.stem_date(text.stem_of(F.col("path"))).alias("stem_date"))
 
 
-@R.add("wikilink_index", """
-SELECT entity, list_sort(list(DISTINCT path)) AS paths FROM (SELECT path, unnest(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1)) AS entity FROM documents) GROUP BY entity""")
+@R.add("wikilink_index", "SELECT DISTINCT path, unnest(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1)) AS entity FROM documents")
 def wikilink_index(t):
-    links = t("documents").select("path", F.explode(text.wikilinks(F.col("text"))).alias("entity"))
-    return links.groupBy("entity").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    """Entries of the inverted list, each once; one that very many have stays many rows."""
+    return t("documents").select("path", F.explode(text.wikilinks(F.col("text"))).alias("entity")).distinct()
 
 
 @R.add("tag_index", f"WITH {MEM} SELECT tag, count(*) AS n, min(path) AS first_path FROM (SELECT DISTINCT path, unnest(tags) AS tag FROM mem) WHERE tag IS NOT NULL GROUP BY tag")
@@ -176,11 +202,17 @@ def query_complexity(t):
     return t("search_results").select("query").dropna().distinct().withColumn("is_complex", text.is_complex(F.col("query")))
 
 
-@R.add("time_ranges")
+PICK, THEN = ranges_sql("content", "day")
+
+
+@R.add("time_ranges", f"""
+WITH m AS (SELECT message_id, content, min(ingested_at)::date AS day FROM messages WHERE regexp_matches(content, '[0-9]{{4}}|年|月|最近|近期|近來|這陣子') GROUP BY message_id, content),
+x AS (SELECT message_id, {PICK} FROM m), y AS (SELECT message_id, {THEN} FROM x)
+SELECT message_id, "start", "end", "start" + floor(("end" - "start") / 2)::int AS anchor, raw, confidence FROM y""")
 def time_ranges(t):
-    """The time that a chat turn speaks of."""
+    """The time that a chat turn speaks of, seen from the day on which it first came in."""
     turns = t("messages").filter(F.col("content").rlike("[0-9]{4}|年|月|最近|近期|近來|這陣子"))
-    rows = turns.select("message_id", "content", F.to_date("ingested_at").alias("day")).dropDuplicates(["message_id"])
+    rows = turns.groupBy("message_id", "content").agg(F.to_date(F.min("ingested_at")).alias("day"))
     found = dates.with_time_range(rows, "content", F.col("day"))
     return found.select("message_id", "start", "end", "anchor", "raw", "confidence")
 

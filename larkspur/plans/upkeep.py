@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text
 from larkspur.operators import graph as G
+from larkspur.operators import lifecycle as L
 from larkspur.operators import memories as M
 from larkspur.operators import ranking
 from larkspur.operators.components import connected_components
-from larkspur.plans.registry import ACC, AS_OF, MEM, Registry
+from larkspur.operators.ordered import running_sum, with_previous
+from larkspur.plans.registry import ACC, AS_OF, MEM, Registry, spread_sql
 from larkspur.session import shared_folder
 
 R = Registry()
@@ -66,15 +68,15 @@ def co_recalled(t):
     return M.co_recalled(log(t), F.col("accessed_at"), "memory_path", 3)
 
 
-@R.add("forgetting_candidates", f"WITH {MEM}, {ACC}, {ACT} SELECT memory_id, mem.path, round(a, 6) AS activation FROM mem JOIN act ON act.path = mem.path WHERE NOT dormant AND importance = 'low' AND a <= 1.5")
+@R.add("forgetting_candidates", f"WITH {MEM}, {ACC}, {ACT} SELECT memory_id, mem.path, round(coalesce(a, 0), 6) AS activation FROM mem LEFT JOIN act ON act.path = mem.path WHERE NOT dormant AND importance = 'low' AND coalesce(a, 0) <= 1.5")
 def forgetting_candidates(t):
     used = ranking.activation(log(t), "memory_path", "accessed_at", at(AS_OF))
     return M.forgettable(mem(t), used, threshold=1.5).select("memory_id", F.col("memory_path").alias("path"), F.round("activation", 6).alias("activation"))
 
 
-@R.add("lifecycle_counts", f"WITH {MEM} SELECT type, count(*) AS n, count(*) FILTER (dormant) AS n_dormant, count(*) FILTER (enriched_at IS NOT NULL) AS n_enriched FROM mem GROUP BY type")
+@R.add("lifecycle_counts", f"WITH {MEM} SELECT type, count(*) AS n, count(*) FILTER (dormant) AS n_dormant, count(*) FILTER (enriched_at IS NOT NULL) AS n_enriched, count(*) FILTER (path LIKE '10\\_Profile/reflections/%' ESCAPE '\\') AS n_reflections FROM mem GROUP BY type")
 def lifecycle_counts(t):
-    return mem(t).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("dormant").cast("bigint")).alias("n_dormant"), F.count("enriched_at").alias("n_enriched"))
+    return mem(t).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("dormant").cast("bigint")).alias("n_dormant"), F.count("enriched_at").alias("n_enriched"), F.sum(F.col("memory_path").startswith("10_Profile/reflections/").cast("bigint")).alias("n_reflections"))
 
 
 @R.add("debounced_accesses", f"""
@@ -82,8 +84,7 @@ WITH {ACC}, l AS (SELECT id, path, accessed_at, lag(accessed_at) OVER (PARTITION
 SELECT path, count(*) AS n FROM l WHERE before IS NULL OR date_diff('microsecond', before, accessed_at) >= 2000000 GROUP BY path""")
 def debounced_accesses(t):
     """Accesses of a memory that don't come within two seconds of the one before."""
-    before = F.lag("accessed_at").over(Window.partitionBy("memory_path").orderBy("accessed_at", "id"))
-    rows = log(t).withColumn("before", before)
+    rows = with_previous(log(t), "memory_path", "accessed_at", "id", F.date_trunc("day", "accessed_at"), "before")
     kept = rows.filter(F.col("before").isNull() | (F.timestamp_diff("MICROSECOND", F.col("before"), F.col("accessed_at")) >= 2_000_000))
     return kept.groupBy(F.col("memory_path").alias("path")).agg(F.count("*").alias("n"))
 
@@ -131,24 +132,14 @@ def person_degrees(t):
     return G.degrees(t("edges"), "Person")
 
 
-def _ppr_sql(steps: int) -> str:
-    parts = [
-        "l AS (SELECT DISTINCT a, b FROM (SELECT src_label || ':' || src AS a, dst_label || ':' || dst AS b FROM edges UNION ALL SELECT dst_label || ':' || dst, src_label || ':' || src FROM edges) WHERE a != b)",
-        "g AS (SELECT a, count(*) AS deg FROM l GROUP BY a)",
-        "sd AS (SELECT a AS node FROM (SELECT a, deg FROM g WHERE a LIKE 'Person:%' ORDER BY deg DESC, a LIMIT 5))", "t AS (SELECT node, 1.0 / (SELECT count(*) FROM sd) AS t FROM sd)", "p0 AS (SELECT node, t AS p FROM t)",
-    ]
-    for k in range(steps):
-        parts.append(f"p{k + 1} AS (SELECT node, sum(p) AS p FROM (SELECT l.b AS node, 0.15 * p / deg AS p FROM p{k} JOIN l ON l.a = node JOIN g ON g.a = node UNION ALL SELECT node, 0.85 * t FROM t) GROUP BY node)")
-    return "WITH " + ", ".join(parts) + f" SELECT node, round(p, 6) AS score FROM p{steps}"
-
-
-@R.add("spreading_activation", _ppr_sql(4))
+@R.add("spreading_activation", f"""
+WITH {spread_sql("SELECT 'q' AS query_id, a AS node FROM (SELECT a, deg FROM g WHERE a LIKE 'Person:%' ORDER BY deg DESC, a LIMIT 5)")} SELECT node, round(p, 6) AS score FROM sp""")
 def spreading_activation(t):
-    """From the five people with most neighbours, four steps."""
+    """From the five people with most neighbours until nothing changes any more."""
     e = t("edges")
     seeds = G.undirected(e).groupBy("a").agg(F.count("*").alias("deg")).filter("a like 'Person:%'").orderBy(F.desc("deg"), "a").limit(5)
     seeds = seeds.select(F.lit("q").alias("query_id"), F.col("a").alias("node"))
-    return G.personalised_pagerank(e, seeds, iterations=4).select("node", F.round("score", 6).alias("score"))
+    return G.personalised_pagerank(e, seeds).select("node", F.round("score", 6).alias("score"))
 
 
 @R.add("invalidated_edges", f"""
@@ -239,30 +230,38 @@ def resolved_people(t):
 
 
 @R.add("graph_components", """
-WITH RECURSIVE l AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE rel = 'event_loc' AND src != dst UNION SELECT DISTINCT dst, src FROM edges WHERE rel = 'event_loc' AND src != dst),
+WITH RECURSIVE ed AS (SELECT DISTINCT src_label || ':' || src AS a, dst_label || ':' || dst AS b FROM edges WHERE rel IN ('person_loc', 'person_event', 'event_loc')), l AS (SELECT a, b FROM ed WHERE a != b UNION SELECT b, a FROM ed WHERE a != b),
 w AS (SELECT a AS node, a AS root FROM l UNION SELECT l.b, w.root FROM w JOIN l ON l.a = w.node) SELECT node, min(root) AS component FROM w GROUP BY node""")
 def graph_components(t):
-    e = t("edges").filter("rel = 'event_loc'")
-    return connected_components(e, "src", "dst")
+    """What is linked among the entities, by all relations between them."""
+    e = t("edges").filter(F.col("rel").isin("person_loc", "person_event", "event_loc"))
+    return connected_components(e.select(G.node_id("src_label", "src").alias("a"), G.node_id("dst_label", "dst").alias("b")), "a", "b")
+
+
+WORDS = "'[a-zA-Z0-9]{{2,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'".replace("{{", "{").replace("}}", "}")
 
 
 @R.add("validated_memories", f"""
-WITH {MEM}, x AS (SELECT memory_id, entities, personal_facts, coalesce(dc.text, '') AS text FROM mem LEFT JOIN documents dc ON dc.path = mem.path)
+WITH {MEM}, x AS (SELECT mem.*, coalesce(dc.text, '') AS text FROM mem LEFT JOIN documents dc ON dc.path = mem.path)
 SELECT memory_id, list_filter(coalesce(entities.locations, []), lambda l: length(trim(l)) > 0 AND contains(text, trim(l))) AS locations,
   list_filter(coalesce(entities.people, []), lambda p: length(trim(p)) > 0 AND contains(text, trim(p)) AND p NOT IN ('我', '你', '他', '她', '我們', '他們')) AS people,
-  len(list_filter(coalesce(personal_facts, [])[1:5], lambda f: len(list_filter(regexp_extract_all(f, '[a-zA-Z0-9]{{2,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda w: contains(text, w))) > 0))::int AS n_facts FROM x""")
+  list_filter(coalesce(entities.emotions, []), lambda e: length(trim(e)) > 0 AND contains(text, trim(e))) AS emotions,
+  list_filter(coalesce(entities.events, []), lambda e: len(list_filter(regexp_extract_all(e, {WORDS}), lambda w: contains(text, w))) > 0) AS events,
+  CASE WHEN len(list_filter(regexp_extract_all(coalesce(period, ''), {WORDS}), lambda w: contains(text, w))) > 0 THEN period ELSE '' END AS period,
+  list_filter(coalesce(personal_facts, [])[1:5], lambda f: len(list_filter(regexp_extract_all(f, {WORDS}), lambda w: contains(text, w))) > 0) AS facts,
+  coalesce(themes, [])[1:4] AS themes, CASE WHEN chat_category IN ('work', 'life', 'knowledge', 'creative', 'emotion') THEN chat_category END AS chat_category FROM x""")
 def validated_memories(t):
     rows = mem(t).join(t("documents").select(F.col("path").alias("memory_path"), "text"), "memory_path", "left")
-    return M.validated(rows, "text").select("memory_id", "locations", "people", F.size("facts").alias("n_facts"))
+    return M.validated(rows, "text").select("memory_id", "locations", "people", "emotions", "events", "period", "facts", "themes", "chat_category")
 
 
 @R.add("facts_of_people", f"""
 WITH {MEM}, x AS (SELECT memory_id, unnest(entities.people) AS person, personal_facts FROM mem), f AS (SELECT DISTINCT person, fact FROM (SELECT person, unnest(personal_facts) AS fact FROM x) WHERE contains(fact, person) AND person != '')
-SELECT person, count(*) AS n FROM f GROUP BY person HAVING count(*) >= 1""")
+SELECT person, count(*) AS n FROM f GROUP BY person HAVING count(*) >= 2""")
 def facts_of_people(t):
     """Facts that name a person of the same memory."""
     rows = mem(t).select(F.explode("entities.people").alias("person"), "personal_facts").select("person", F.explode("personal_facts").alias("fact"))
-    return rows.filter(F.col("fact").contains(F.col("person")) & (F.col("person") != "")).distinct().groupBy("person").agg(F.count("*").alias("n"))
+    return rows.filter(F.col("fact").contains(F.col("person")) & (F.col("person") != "")).distinct().groupBy("person").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
 @R.add("recent_memories", f"WITH {MEM} SELECT memory_id, d AS date FROM mem WHERE d >= DATE '2026-01-01' - 30 AND NOT dormant")
@@ -274,33 +273,7 @@ def recent_memories(t):
 WITH {MEM}, x AS (SELECT path, unnest(themes) AS theme, len(personal_facts) AS nf FROM mem WHERE NOT dormant)
 SELECT theme, sum(nf)::bigint AS n_facts, count(DISTINCT path) AS n_sources, list_sort(list(DISTINCT path))[1:5] AS first_sources FROM x WHERE theme IS NOT NULL GROUP BY theme HAVING sum(nf) >= 5""")
 def theme_groups(t):
-    rows = mem(t).filter(~F.col("dormant")).select(F.col("memory_path").alias("path"), F.explode("themes").alias("theme"), F.size(F.coalesce("personal_facts", text.empty_strings())).alias("nf")).filter("theme is not null")
-    out = rows.groupBy("theme").agg(F.sum("nf").alias("n_facts"), F.countDistinct("path").alias("n_sources"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("first_sources"))
-    return out.filter("n_facts >= 5")
-
-
-def _edits(t):
-    m = mem(t)
-    op = F.element_at(F.array(F.lit("add"), F.lit("update"), F.lit("remove")), (F.col("memory_id") % 3 + 1).cast("int"))
-    return m, m.select("memory_path", op.alias("op"), F.lit("notebooks").alias("old"), F.lit("keeps a new notebook").alias("new"))
-
-
-@R.add("edited_facts", f"""
-WITH {MEM}, x AS (SELECT memory_id, coalesce(personal_facts, []) AS f, memory_id % 3 AS op FROM mem),
-y AS (SELECT *, len(list_filter(f, lambda v: contains(v, 'notebooks'))) AS hits FROM x),
-z AS (SELECT memory_id, f, CASE WHEN op = 0 AND NOT list_contains(f, 'keeps a new notebook') THEN list_append(f, 'keeps a new notebook')
-  WHEN op = 1 AND hits = 1 THEN [CASE WHEN contains(v, 'notebooks') THEN 'keeps a new notebook' ELSE v END for v in f] WHEN op = 2 AND hits = 1 THEN list_filter(f, lambda v: NOT contains(v, 'notebooks')) ELSE f END AS after FROM y)
-SELECT memory_id, after, CASE WHEN after IS DISTINCT FROM f THEN 'applied' ELSE 'unchanged' END AS outcome FROM z""")
-def edited_facts(t):
-    m, edits = _edits(t)
-    return M.apply_fact_edits(m, edits).select("memory_id", "after", "outcome")
-
-
-@R.add("reverted_facts", f"WITH {MEM} SELECT memory_id, coalesce(personal_facts, []) AS facts FROM mem")
-def reverted_facts(t):
-    """Edits taken back: every list as it was."""
-    m, edits = _edits(t)
-    return M.revert_edits(M.apply_fact_edits(m, edits)).select("memory_id", F.col("reverted").alias("facts"))
+    return L.theme_groups(mem(t), 5, 5)
 
 
 @R.add("corrected_texts", """
@@ -357,13 +330,12 @@ def latest_search(t):
 
 
 @R.add("capped_facts", f"""
-WITH {MEM}, x AS (SELECT regexp_extract(path, '^[^/]+/[^/]+') AS folder, path, memory_id, coalesce(len(personal_facts), 0) AS n FROM mem),
-r AS (SELECT *, sum(n) OVER (PARTITION BY folder ORDER BY path, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x) SELECT memory_id, n::bigint AS n FROM r WHERE coalesce(before, 0) < 40""")
+WITH {MEM}, x AS (SELECT path, memory_id, coalesce(len(personal_facts), 0) AS n FROM mem),
+r AS (SELECT *, sum(n) OVER (ORDER BY path, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x) SELECT memory_id, n::bigint AS n FROM r WHERE coalesce(before, 0) < 400""")
 def capped_facts(t):
-    """In each folder memories up to the one with which it reaches forty facts."""
-    x = mem(t).select(F.regexp_extract("memory_path", "^[^/]+/[^/]+", 0).alias("folder"), "memory_path", "memory_id", F.size(F.coalesce("personal_facts", text.empty_strings())).cast("bigint").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("folder").orderBy("memory_path", "memory_id").rowsBetween(Window.unboundedPreceding, -1))
-    return x.withColumn("before", F.coalesce(before, F.lit(0))).filter("before < 40").select("memory_id", "n")
+    """Memories in the order of their paths up to the one with which they reach four hundred facts."""
+    x = mem(t).select("memory_path", "memory_id", F.size(F.coalesce("personal_facts", text.empty_strings())).cast("bigint").alias("n"))
+    return running_sum(x, ["memory_path", "memory_id"], "n", "before").filter("before < 400").select("memory_id", "n")
 
 
 @R.add("list_journals", f"WITH {MEM} SELECT path, left(regexp_replace(summary, chr(10), ' ', 'g'), 80) AS line FROM mem WHERE path LIKE '30\\_Journal/2024/%' ESCAPE '\\' ORDER BY path DESC LIMIT 20")
