@@ -51,11 +51,12 @@ class LexicalIndex:
     spark: SparkSession
     folder: str
     key: str
+    kind: str = "string"
 
     @classmethod
     def build(cls, texts: DataFrame, key: str, text: str, folder: str) -> LexicalIndex:
         """A new index at ``folder``. ``key`` tells the texts apart; null texts have no tokens and so no place in it."""
-        index = cls(texts.sparkSession, folder, key)
+        index = cls(texts.sparkSession, folder, key, texts.schema[key].dataType.simpleString())
         index._add(texts, text)
         return index
 
@@ -64,13 +65,17 @@ class LexicalIndex:
         self._add(texts.dropDuplicates([self.key]).join(self._read("lengths").select(self.key), self.key, "left_anti"), text)
 
     def _read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{part}")
+        columns = {
+            "postings": f"`{self.key}` {self.kind}, len int, tok string, tf bigint, step int, bucket int", "terms": "tok string, df bigint, bucket int, step int",
+            "lengths": f"`{self.key}` {self.kind}, len int, step int", "figures": "n bigint, total bigint, mean double, n_terms bigint, step int",
+        }
+        return self.spark.read.schema(columns[part]).parquet(f"{self.folder}/{part}")
 
     def _add(self, texts: DataFrame, text: str) -> None:
         step = self._version() + 1
         at = lambda part: f"{self.folder}/{part}/step={step}"
         _postings(texts, self.key, text).drop("_part").write.partitionBy("bucket").parquet(at("postings"))
-        added = self.spark.read.parquet(at("postings"))
+        added = self._read("postings").filter(F.col("step") == step)
         added.groupBy("tok").agg(F.count("*").alias("df")).withColumn("bucket", _bucket()).write.parquet(at("terms"))
         added.select(self.key, "len").distinct().write.parquet(at("lengths"))
         sizes = self._read("lengths").agg(F.count("*").alias("n"), F.sum("len").alias("total"))

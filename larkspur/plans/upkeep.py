@@ -402,4 +402,4 @@ def stream_new_messages(t):
     pattern = name if len(source.inputFiles()) == 1 else "*.parquet"
     fresh = spark.readStream.schema(source.schema).option("pathGlobFilter", pattern).parquet(folder).select("message_id", "conv_id")
     append_new(fresh, f"{base}/table", ["message_id"], f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/table")
+    return spark.read.parquet(f"{base}/table").select("message_id", "conv_id")

@@ -24,7 +24,7 @@ def may_come_in(path: Column) -> Column:
 
 def scan_inbox(spark: SparkSession, folder: str) -> DataFrame:
     """``path, length, content`` of the files that lie in a folder, not below it."""
-    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*")
+    files = spark.read.format("binaryFile").load(folder)
     return files.filter(may_come_in(F.col("path"))).select("path", "length", "content")
 
 

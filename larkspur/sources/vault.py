@@ -8,10 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import empty_strings, stem_of
+from larkspur.functions.dates import stem_date
+from larkspur.functions.text import empty_strings, stem_of, wikilinks
 
 #: Never read as memories.
 SKIPPED = r"(^|/)(00_System/|README\.md$|\.cursorrules$)"
@@ -103,14 +104,36 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semantic_index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Inverted lists: ``tag, paths`` and ``entity, paths`` (targets of wiki links in the body)."""
-    from larkspur.functions.text import wikilinks
-
-    tags = documents.select(F.explode(F.coalesce("tags", empty_strings())).alias("tag"), "path").groupBy("tag").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    links = documents.select(F.explode(wikilinks(F.coalesce("body", F.lit("")))).alias("entity"), "path").groupBy("entity").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    """Entries of inverted lists: ``tag, path`` and ``entity, path`` (targets of wiki links in the body), each once. A tag of very many
+    documents stays many rows."""
+    tags = documents.select(F.explode(F.coalesce("tags", empty_strings())).alias("tag"), "path").distinct()
+    links = documents.select(F.explode(wikilinks(F.coalesce("body", F.lit("")))).alias("entity"), "path").distinct()
     return tags, links
 
 
+def awake(documents: DataFrame) -> DataFrame:
+    """Parsed documents that are indexed: those that aren't dormant."""
+    return documents.filter(~F.coalesce("dormant", F.lit(False)))
+
+
+def with_header(documents: DataFrame) -> DataFrame:
+    """``path, text``: documents put together again, with a header of their fields (lists as JSON) and their body."""
+    plain = [F.concat(F.lit(f'{k}: "'), F.replace(k, F.lit('"'), F.lit("'")), F.lit('"')) for k in ("title", "date_created", "type", "source", "summary", "period")]
+    lists = [F.when(F.size(F.coalesce(k, empty_strings())) > 0, F.concat(F.lit(f"{k}: "), F.to_json(k))) for k in ("tags", "themes", "personal_facts")]
+    named = [F.when(F.size(F.coalesce(k, empty_strings())) > 0, F.concat(F.lit(f"  {k}: "), F.to_json(k))) for k in ("locations", "people", "events", "emotions")]
+    entities = F.concat_ws("\n", *named)
+    lines = F.concat_ws("\n", *plain, *lists, F.when(entities != "", F.concat(F.lit("entities:\n"), entities)), F.when(F.coalesce("dormant", F.lit(False)), "dormant: true"))
+    return documents.select("path", F.concat(F.lit("---\n"), lines, F.lit("\n---\n"), F.coalesce("body", F.lit(""))).alias("text"))
+
+
+def journals_of(pages: DataFrame, as_of: Column) -> DataFrame:
+    """Texts of ``.pages`` files (``path, text``) as journal documents ``path, title, date_created, type, text`` below their year; those without
+    text are left out. The date is that of the file's name, else ``as_of``."""
+    stem = stem_of(F.col("path"))
+    day = F.coalesce(stem_date(stem), as_of)
+    return pages.filter("text != ''").select(F.concat(F.lit("30_Journal/"), F.year(day), F.lit("/"), stem, F.lit(".md")).alias("path"), stem.alias("title"), F.date_format(day, "yyyy-MM-dd").alias("date_created"), F.lit("journal").alias("type"), "text")
+
+
 def write_routed(documents: DataFrame, folder: str) -> None:
     """Documents below their area and year, those already written (by name) left alone."""
     spark = documents.sparkSession

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.operators import dense, evaluation, graph, lexical, memories, models, ranking
+from larkspur.operators import dense, edits, evaluation, graph, lexical, memories, models, ordered, ranking
 from larkspur.operators.components import connected_components
 from larkspur.sources import vault
 from larkspur.streaming import jobs
@@ -35,11 +36,37 @@ def test_boosts(spark):
     assert tuple(row) == pytest.approx((1.2, 0.85, 1.0, 1.3))
 
 
-def test_bm25_ranks_rarer_words_higher(spark):
-    texts = spark.createDataFrame([(1, "red fish"), (2, "red bird"), (3, "red red stone"), (4, None)], "id int, t string")
-    queries = spark.createDataFrame([("q", "fish red"), ("empty", None)], "query_id string, query string")
-    got = {r.id: r.score for r in lexical.bm25(texts, "id", "t", queries, "query").collect()}
-    assert max(got, key=got.get) == 1
+def bm25_by_hand(texts, query):
+    import re
+
+    toks = {k: [w.lower() for w in re.findall("[a-zA-Z0-9]+", t)] for k, t in texts.items() if t}
+    toks = {k: v for k, v in toks.items() if v}
+    n, mean = len(toks), sum(map(len, toks.values())) / len(toks)
+    df = {}
+    for words in toks.values():
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    idf = {w: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, r in raw.items()}
+    out = {}
+    for k, words in toks.items():
+        score = sum(idf[w] * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) / mean)) for w in query.split() if w in words)
+        if score > 0:
+            out[k] = score
+    return out
+
+
+def test_kept_index_against_plain_scores(spark, tmp_path):
+    """Built, appended to (a delivery that is repeated adds nothing) and searched, the index scores like one over all texts at once."""
+    texts = {1: "red fish", 2: "red bird red", 3: "red red stone", 4: None, 5: "", 6: "blue bird and fish", 7: "stone stone wall", 8: "red wall"}
+    df = spark.createDataFrame(list(texts.items()), "id int, t string")
+    index = lexical.LexicalIndex.build(df.filter("id < 6"), "id", "t", str(tmp_path / "index"))
+    index.append(df.filter("id > 2"), "t")
+    index.append(df, "t")
+    queries = spark.createDataFrame([("q", "fish red red"), ("empty", None), ("none", "zebra")], "query_id string, query string")
+    got = {r.id: r.score for r in index.search(queries, "query").collect()}
+    assert got == pytest.approx(bm25_by_hand(texts, "fish red red")) and index.figures()["n"] == 6
+    assert all(f"bucket={b}" in " ".join(index.postings().inputFiles()) for b in {r.bucket for r in index.postings().select("bucket").distinct().collect()})
 
 
 def test_edges_in_time(spark):
@@ -56,8 +83,16 @@ def test_spreading_keeps_its_mass(spark):
     rows = [("r", "A", str(a), "A", str(b)) for a, b in [(1, 2), (2, 3), (3, 1), (3, 4)]]
     edges = spark.createDataFrame(rows, "rel string, src_label string, src string, dst_label string, dst string")
     seeds = spark.createDataFrame([("q", "A:1"), ("q", "A:missing")], "query_id string, node string")
-    got = graph.personalised_pagerank(edges, seeds, iterations=5).agg(F.sum("score")).first()[0]
-    assert got == pytest.approx(1.0)
+    got = {r.node: r.score for r in graph.personalised_pagerank(edges, seeds).collect()}
+    assert sum(got.values()) == pytest.approx(1.0)
+    near = {"A:1": ["A:2", "A:3"], "A:2": ["A:1", "A:3"], "A:3": ["A:1", "A:2", "A:4"], "A:4": ["A:3"]}
+    p = {"A:1": 1.0}
+    for _ in range(60):
+        p = {n: 0.85 * (n == "A:1") + 0.15 * sum(p.get(m, 0) / len(near[m]) for m in near[n]) for n in near}
+    assert got == pytest.approx(p, abs=1e-7)
+    with pytest.raises(RuntimeError):
+        graph.personalised_pagerank(edges, seeds, damping=0.9, most_steps=3)
+    assert [r.path for r in graph.spreading_activation(edges.withColumn("src_label", F.lit("Memory")).withColumn("dst_label", F.lit("Memory")), graph.seed_nodes(edges, spark.createDataFrame([("q", "1")], "query_id string, path string")), 2).orderBy("rank").collect()] == ["3", "2"]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -78,13 +113,69 @@ def test_components_as_union_find(spark, pairs):
 
 
 def test_edits_and_their_reversal(spark):
-    rows = [(1, "p1", ["likes tea", "has a cat"]), (2, "p2", ["likes tea", "likes tea twice"]), (3, "p3", None)]
+    rows = [(1, "p1", ["likes tea", "has a cat"]), (2, "p2", ["likes tea", "likes tea twice"]), (3, "p3", None), (4, "p4", ["a", "b", "c"])]
     m = spark.createDataFrame(rows, "memory_id int, memory_path string, personal_facts array<string>")
-    edits = spark.createDataFrame([("p1", "update", "tea", "likes coffee"), ("p2", "remove", "tea", ""), ("p3", "add", "", "new")], "memory_path string, op string, old string, new string")
-    done = memories.apply_fact_edits(m, edits)
-    got = {r.memory_id: (r.after, r.outcome) for r in done.collect()}
-    assert got == {1: (["likes coffee", "has a cat"], "applied"), 2: (["likes tea", "likes tea twice"], "unchanged"), 3: (["new"], "applied")}
-    assert {r.memory_id: r.reverted for r in memories.revert_edits(done).collect()} == {1: rows[0][2], 2: rows[1][2], 3: []}
+    steps = [("p1", 1, "update", "tea", "likes coffee"), ("p1", 2, "remove", "cat", ""), ("p1", 3, "add", "", "new"), ("p2", 1, "remove", "tea", ""), ("p3", 1, "add", "", "new"), ("p3", 2, "add", "", "new"), ("p4", 1, "remove", "b", ""), ("p4", 2, "update", "c", "d")]
+    done = edits.apply_fact_edits(m, spark.createDataFrame(steps, "memory_path string, step int, op string, old string, new string")).cache()
+    assert {r.memory_id: r.after for r in done.collect()} == {1: ["likes coffee", "new"], 2: ["likes tea", "likes tea twice"], 3: ["new"], 4: ["a", "d"]}
+    log = edits.edit_log(done, F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")).cache()
+    assert {(r.memory_path, r.step): (r.place, r.old, r.outcome) for r in log.collect()} == {
+        ("p1", 1): (0, "likes tea", "applied"), ("p1", 2): (1, "has a cat", "applied"), ("p1", 3): (1, None, "applied"), ("p2", 1): (None, None, "unchanged"), ("p3", 1): (0, None, "applied"), ("p3", 2): (None, None, "unchanged"),
+        ("p4", 1): (1, "b", "applied"), ("p4", 2): (1, "c", "applied"),
+    }
+    now = done.select("memory_path", F.col("after").alias("personal_facts"))
+    assert {r.memory_path: r.reverted for r in edits.revert_edits(now, log).collect()} == {"p1": rows[0][2], "p3": [], "p4": rows[3][2]}
+    one = log.filter("memory_path = 'p4' and step = 1").first().log_id
+    assert [r.reverted for r in edits.revert_edits(now, edits.log_entry(log, one)).collect()] == [["a", "b", "d"]]
+    assert {r.n for r in edits.pending_embeddings(log).filter("memory_path = 'p1'").collect()} == {3} and edits.log_lines(log).filter("line like '%removed: b'").count() == 1
+
+
+def test_corrections_fold_over_fields(spark):
+    rows = [("p", ["a", "b"], ["X"]), ("q", None, ["Y"])]
+    m = spark.createDataFrame(rows, "memory_path string, tags array<string>, people array<string>")
+    issues = [("p", 0, "people", "hallucination", "X", "Z"), ("p", 1, "tags", "missing", "", "c"), ("p", 2, "tags", "inaccurate", "a", ""), ("p", 3, "tags", "odd", "b", "")]
+    changes = edits.corrections(spark.createDataFrame(issues, "memory_path string, nth int, field string, issue_type string, current_value string, suggested_value string"))
+    more = spark.createDataFrame([("q", 0, "people", "set", "W"), ("q", 1, "tags", "add", "t"), ("q", 2, "tags", "add", "u"), ("q", 3, "tags", "remove", "#0")], "memory_path string, step int, field string, action string, value string")
+    got = {r.memory_path: (r.tags, r.people) for r in edits.correct_fields(m, changes.unionByName(more)).collect()}
+    assert got == {"p": (["b", "c"], ["Z"]), "q": (["u"], ["W"])}
+
+
+def test_running_sums_and_neighbours(spark):
+    r = random.Random(1)
+    rows = [(k, r.choice("ab"), datetime(2024, 1, 1 + r.randrange(9), r.randrange(24)), r.randrange(5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, at timestamp_ntz, n int")
+    want, total = {}, 0
+    for x in sorted(rows, key=lambda x: (x[2], x[0])):
+        want[x[0]] = total
+        total += x[3]
+    assert {x.id: x.s for x in ordered.running_sum(df, ["at", "id"], "n", "s").collect()} == want
+    before, last = {}, {}
+    for x in sorted(rows, key=lambda x: (x[2], x[0])):
+        before[x[0]] = last.get(x[1])
+        last[x[1]] = x[2]
+    assert {x.id: x.b for x in ordered.with_previous(df, "k", "at", "id", F.date_trunc("day", "at"), "b").collect()} == before
+
+
+@pytest.mark.parametrize("most", [2, 4096])
+def test_nearest_in_blocks_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(dense, "MOST_QUERIES", most)
+    r = random.Random(2)
+    rows = [(k, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] if k % 9 else None) for k in range(80)] + [(100, [0.0] * 3), (101, [1.0, 2.0]), (102, [])]
+    v = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    q = spark.createDataFrame([(k, x) for k, x in rows if k % 10 == 1], "query_id int, vector array<double>")
+    size = lambda x: math.sqrt(sum(a * a for a in x))
+    fits = {k: x for k, x in rows if x and size(x)}
+    want = set()
+    for a in (k for k, _ in rows if k % 10 == 1 and k in fits):
+        near = sorted((-round(sum(x * y for x, y in zip(fits[a], fits[b])) / size(fits[a]) / size(fits[b]), 9), b) for b in fits if len(fits[b]) == len(fits[a]))
+        want |= {(a, b, k + 1) for k, (_, b) in enumerate(near[:5])}
+    assert {(x.query_id, x.id, x["rank"]) for x in dense.nearest(v, "id", "v", q, 5).collect()} == want
+
+
+def test_samples_sum_up(spark):
+    rows = [(k, "big" if k < 60 else f"s{k % 7}") for k in range(100)]
+    got = evaluation.stratified(spark.createDataFrame(rows, "id int, s string"), "id", F.col("s"), 10).collect()
+    assert len(got) == 10 and {x.stratum for x in got} == {s for _, s in rows}
 
 
 def test_validation_drops_what_the_text_does_not_hold(spark):
@@ -122,7 +213,12 @@ def test_vault_files(spark, tmp_path):
     a = got["30_Journal/a.md"]
     assert (a.title, a.tags, a.people, a.dormant, a.enriched, a.body) == ("T", ["x", "y"], ["Ann"], True, True, "Body [[Ann]]\n")
     tags, links = vault.semantic_index(docs)
-    assert {r.tag for r in tags.collect()} == {"x", "y"} and [r.entity for r in links.collect()] == ["Ann"]
+    assert {(r.tag, r.path) for r in tags.collect()} == {("x", "30_Journal/a.md"), ("y", "30_Journal/a.md")} and [r.entity for r in links.collect()] == ["Ann"]
+    assert [r.path for r in vault.awake(docs).collect()] == ["b.md"]
+    again = {r.path: r for r in vault.parse_documents(vault.with_header(docs)).collect()}
+    assert (again["30_Journal/a.md"].title, again["30_Journal/a.md"].people, again["30_Journal/a.md"].body) == (a.title, a.people, a.body)
+    pages = spark.createDataFrame([("x/240501_trip.pages", "text"), ("x/none.pages", "")], "path string, text string")
+    assert [tuple(r)[:3] for r in vault.journals_of(pages, F.lit("2026-01-01").cast("date")).collect()] == [("30_Journal/2024/240501_trip.md", "240501_trip", "2024-05-01")]
     out = str(tmp_path / "out")
     vault.write_routed(docs, out)
     vault.write_routed(docs, out)
@@ -148,9 +244,14 @@ def test_injected_model(spark):
     assert models.only_missing(rows, rows.filter("k = 'a'"), "k").count() == 1
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "id int, t string")
     queries = spark.createDataFrame([], "query_id string, query string")
-    assert lexical.bm25(none, "id", "t", queries, "query").count() == 0
+    index = lexical.LexicalIndex.build(none, "id", "t", str(tmp_path / "index"))
+    assert index.search(queries, "query").count() == 0
+    index.append(spark.createDataFrame([(1, "red fish"), (2, "grey stone"), (3, "green leaf")], "id int, t string"), "t")
+    assert [r.id for r in index.search(spark.createDataFrame([("q", "fish")], "query_id string, query string"), "query").collect()] == [1]
+    vectors = spark.createDataFrame([], "id int, v array<double>")
+    assert dense.nearest(vectors, "id", "v", spark.createDataFrame([], "query_id int, vector array<double>"), 3).count() == 0
     assert connected_components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
     assert memories.co_recalled(spark.createDataFrame([], "s int, i string"), F.col("s"), "i").count() == 0
