@@ -6,7 +6,7 @@ one row with a weight, pairs are enumerated once per distinct array and their we
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.session import cut_lineage
@@ -15,23 +15,19 @@ from larkspur.session import cut_lineage
 #: and then enumerated in blocks of as many items, each block in its own row.
 LARGE_BASKET = 256
 
-#: More colliding items than this can't come from chance (64-bit ids).
-MOST_COLLISIONS = 10_000
 
+def _hashes_collide(items: DataFrame) -> bool:
+    return not items.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty()
 
-def _item_id(items: DataFrame, item: str) -> Column:
-    """A 64-bit id of each item, exact: items whose hashes collide get ids from other seeds."""
-    collided = (
-        items.groupBy("_h").agg(F.count("*").alias("_n"), F.collect_set(item).alias("_items"))
-        .filter("_n > 1").select(F.explode("_items").alias("i")).limit(MOST_COLLISIONS + 1).collect()
-    )
-    if len(collided) > MOST_COLLISIONS:
-        raise ValueError("too many items share a 64-bit hash")
-    col = F.xxhash64(F.col(item))
-    if collided:
-        for n, row in enumerate(sorted(r["i"] for r in collided)):
-            col = F.when(F.col(item) == row, F.xxhash64(F.lit(row), F.lit(n + 1))).otherwise(col)
-    return col
+
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records with a 64-bit ``_id`` for each item, and what each stands for. Hashes serve, with no join, as long as no two items
+    have the same; otherwise the items are numbered."""
+    items = cut_lineage(pairs.groupBy("_item").count().select("_item", F.xxhash64("_item").alias("_h")))
+    if not _hashes_collide(items):
+        return pairs.select("_basket", F.xxhash64("_item").alias("_id")), items.select(F.col("_h").alias("_id"), F.col("_item").alias("_name"))
+    names = cut_lineage(items.select(F.monotonically_increasing_id().alias("_id"), F.col("_item").alias("_name")))
+    return pairs.join(names, pairs._item == names._name).select("_basket", "_id"), names
 
 
 def pair_counts(records: DataFrame, basket: str, item: str, min_together: int = 8, min_lift: float = 2.0) -> DataFrame:
@@ -46,12 +42,9 @@ def pair_counts(records: DataFrame, basket: str, item: str, min_together: int =
     null where b follows a always).
     """
     pairs = records.select(F.col(basket).alias("_basket"), F.col(item).alias("_item")).dropna()
-    items = pairs.groupBy("_item").count().select("_item", F.xxhash64("_item").alias("_h"))
-    ident = _item_id(items, "_item")
-    names = items.select(ident.alias("_id"), F.col("_item").alias("_name"))
-
+    numbered, names = _numbered(pairs)
     collapsed = cut_lineage(
-        pairs.select("_basket", ident.alias("_id"))
+        numbered
         .groupBy("_basket").agg(F.sort_array(F.collect_set("_id")).alias("_ids"))
         .groupBy("_ids").agg(F.count("*").alias("_weight"))
     )

@@ -9,9 +9,11 @@ import pytest
 from larkspur.llm import cooccurrence
 
 
-@pytest.mark.parametrize("large", [2, 256])
-def test_against_brute_force(spark, monkeypatch, large):
+@pytest.mark.parametrize(("large", "collide"), [(2, False), (256, False), (256, True)])
+def test_against_brute_force(spark, monkeypatch, large, collide):
     monkeypatch.setattr(cooccurrence, "LARGE_BASKET", large)
+    if collide:
+        monkeypatch.setattr(cooccurrence, "_hashes_collide", lambda items: True)
     r = random.Random(4)
     rows = [(b, f"i{min(int(r.expovariate(0.25)), 14)}") for b in range(80) for _ in range(r.randint(1, 7))]
     rows += rows[:40] + [(None, "i1"), (3, None)]
