@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +207,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, key: str) -> It
 def encode(texts: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """``key`` and ``ids`` (array<int>) of each row's ``text``, without special tokens.
 
-    ``vocabulary`` is the path of the vocabulary's JSON file, readable on every executor. Null and empty
+    ``vocabulary`` is the path of the vocabulary's JSON file on the driver, from where every executor gets it. Null and empty
     texts give an empty list, blank texts are encoded like any other, the strings of special tokens are
     ordinary text. Repeated rows and keys come out as often as they come in; a null key stays null; an
     empty table gives no rows; other columns are ignored whatever their names.
@@ -213,4 +215,6 @@ def encode(texts: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     words = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
     rows = texts.select(F.col(key), words.alias("_words"))
     kind = texts.schema[key].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: encode_batches(batches, vocabulary, key), f"`{key}` {kind}, ids array<int>")
+    texts.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
+    return rows.mapInArrow(lambda batches: encode_batches(batches, SparkFiles.get(name), key), f"`{key}` {kind}, ids array<int>")
