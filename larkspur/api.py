@@ -39,7 +39,7 @@ class Vault:
 
     def corpus(self) -> plans.Corpus:
         docs = self.documents.select("path", "text", F.col("date_created").alias("date"), "type")
-        return plans.Corpus(docs, self.index, self.vectors, self.edges, memories.accesses(self.accesses))
+        return plans.Corpus(docs, self.index, self.vectors, self.edges, self.accesses)
 
     def _query(self, query: str) -> DataFrame:
         return self.documents.sparkSession.createDataFrame([("q", query)], "query_id string, query string")

@@ -43,6 +43,7 @@ def with_time_range(rows: DataFrame, text: str, as_of: Column) -> DataFrame:
         pairs = [(F.lit(k), F.lit(v if part is None else v[part])) for k, v in table.items()]
         return F.element_at(F.create_map(*(x for pair in pairs for x in pair)), key)
 
+    # The patterns below, in the order in which they are tried, and how sure each is.
     years, season = "(大前年|前年|去年|今年)", "([春夏秋冬])[天季]?"
     first, last = (F.lit(1), F.lit(12))
     rules = []

@@ -205,6 +205,7 @@ def fit_array(items: Column, size: int, fill: str = "") -> Column:
 
 def document_format(path: Column, text: Column, kind: Column) -> Column:
     """pages, gemini, knowledge, journal or unknown, by suffix, marks in the text, name and type."""
+    # Marks of exported chats.
     marks = r"備份時間：|## 對話記錄|\*\*你\*\*\s*\n|\*\*Gemini\*\*\s*\n"
     return (
         F.when(F.lower(path).endswith(".pages"), "pages")

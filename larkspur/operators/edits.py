@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import empty_strings
+from larkspur.operators.chunks import paragraph_chunks
+from larkspur.operators.graph import weave
+from larkspur.operators.lexical import LexicalIndex
 
 ENTRY = "struct<step:int,op:string,place:int,old:string,new:string,outcome:string>"
 #: Lists of a memory that corrections may change.
@@ -124,3 +127,16 @@ def pending_embeddings(log: DataFrame) -> DataFrame:
 def snapshot(memories: DataFrame, paths: DataFrame, at: Column) -> DataFrame:
     """The rows of some paths as they are, with the time: what an edit may be compared with or undone by."""
     return memories.join(paths.select("memory_path").distinct(), "memory_path", "left_semi").withColumn("snapshot_at", at)
+
+
+def cascade(edges: DataFrame, chunks: DataFrame, index: LexicalIndex, memories: DataFrame, documents: DataFrame, paths: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """What follows from a correction of some memories (``path``): their edges are woven anew, their chunks cut anew and those of the
+    lexical index replaced. Gives the graph and the chunk table (``chunk_id, path, chunk_index, para``) as they are then."""
+    asked = paths.select("path").distinct()
+    mine = memories.join(asked.withColumnRenamed("path", "memory_path"), "memory_path", "left_semi")
+    kept = edges.join(asked.select(F.col("path").alias("src"), F.lit("Memory").alias("src_label")), ["src", "src_label"], "left_anti").select(*edges.columns)
+    woven = weave(mine, at).select(*edges.columns)
+    fresh = woven.join(kept.select("rel", "src", "dst").distinct(), ["rel", "src", "dst"], "left_anti").select(*edges.columns)
+    cut = paragraph_chunks(documents.join(asked, "path", "left_semi"), "path", "text")
+    index.refresh(cut.select("chunk_id", "para"), "para", chunks.join(asked, "path", "left_semi").select("chunk_id"))
+    return kept.unionByName(fresh), chunks.join(asked, "path", "left_anti").select(*cut.columns).unionByName(cut)

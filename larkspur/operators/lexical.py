@@ -62,10 +62,31 @@ class LexicalIndex:
 
     def append(self, texts: DataFrame, text: str) -> None:
         """Adds the texts whose keys aren't in the index yet; what is delivered again adds nothing."""
-        self._add(texts.dropDuplicates([self.key]).join(self._read("lengths").select(self.key), self.key, "left_anti"), text)
+        self._add(texts.dropDuplicates([self.key]).join(self._kept(self._read("lengths")).select(self.key), self.key, "left_anti"), text)
+
+    def refresh(self, texts: DataFrame, text: str, gone: DataFrame) -> None:
+        """Replaces what the index has under the keys of ``gone``, and adds ``texts`` under theirs."""
+        step = self._version() + 1
+        old = self._kept(self._read("lengths")).join(gone.select(self.key).distinct(), self.key, "left_semi").select(self.key)
+        old.write.parquet(f"{self.folder}/removed/step={step}")
+        out = self._read("removed").filter(F.col("step") == step).select(self.key)
+        lost = self._kept(self._read("postings"), step).join(out, self.key, "left_semi")
+        lost.groupBy("tok").agg((-F.count("*")).alias("df")).withColumn("bucket", _bucket()).write.parquet(f"{self.folder}/terms/step={step}")
+        self._figure(step)
+        self.append(texts, text)
+
+    def _kept(self, rows: DataFrame, before: int | None = None) -> DataFrame:
+        """Rows that were not removed after they were added."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/removed")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return rows
+        removed = self._read("removed").select(F.col(self.key).alias("_gone"), F.col("step").alias("_until"))
+        removed = removed.filter(F.col("_until") < before) if before is not None else removed
+        return rows.join(removed, (F.col(self.key) == F.col("_gone")) & (F.col("step") <= F.col("_until")), "left_anti")
 
     def _read(self, part: str) -> DataFrame:
         columns = {
+            "removed": f"`{self.key}` {self.kind}, step int",
             "postings": f"`{self.key}` {self.kind}, len int, tok string, tf bigint, step int, bucket int", "terms": "tok string, df bigint, bucket int, step int",
             "lengths": f"`{self.key}` {self.kind}, len int, step int", "figures": "n bigint, total bigint, mean double, n_terms bigint, step int",
         }
@@ -78,10 +99,13 @@ class LexicalIndex:
         added = self._read("postings").filter(F.col("step") == step)
         added.groupBy("tok").agg(F.count("*").alias("df")).withColumn("bucket", _bucket()).write.parquet(at("terms"))
         added.select(self.key, "len").distinct().write.parquet(at("lengths"))
-        sizes = self._read("lengths").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+        self._figure(step)
+
+    def _figure(self, step: int) -> None:
+        sizes = self._kept(self._read("lengths")).agg(F.count("*").alias("n"), F.sum("len").alias("total"))
         n = sizes.first()["n"]
-        vocabulary = self._read("terms").groupBy("tok").agg(F.sum("df").alias("df")).agg(F.avg(_raw(F.lit(n))).alias("mean"), F.count("*").alias("n_terms"))
-        sizes.crossJoin(vocabulary).write.parquet(at("figures"))
+        vocabulary = self._read("terms").groupBy("tok").agg(F.sum("df").alias("df")).filter("df > 0").agg(F.avg(_raw(F.lit(n))).alias("mean"), F.count("*").alias("n_terms"))
+        sizes.crossJoin(vocabulary).write.parquet(f"{self.folder}/figures/step={step}")  # one row each
 
     def _version(self) -> int:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/figures")
@@ -94,7 +118,7 @@ class LexicalIndex:
         return self._read("figures").orderBy(F.desc("step")).first().asDict()
 
     def postings(self) -> DataFrame:
-        return self._read("postings")
+        return self._kept(self._read("postings"))
 
     def search(self, queries: DataFrame, query: str) -> DataFrame:
         """``query_id, key, score`` of every text with a positive score. ``queries`` has ``query_id`` and a text; a token
@@ -106,9 +130,9 @@ class LexicalIndex:
         asked = asked.withColumn("bucket", _bucket())
         buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # not more than BUCKETS
         terms = self._read("terms").filter(F.col("bucket").isin(buckets)).join(asked.select("tok").distinct(), "tok", "left_semi")
-        statistics = terms.groupBy("tok").agg(F.sum("df").alias("df")).withColumn("_raw", _raw(F.lit(n)))
+        statistics = terms.groupBy("tok").agg(F.sum("df").alias("df")).filter("df > 0").withColumn("_raw", _raw(F.lit(n)))
         weights = asked.join(statistics, "tok").select("query_id", "tok", "bucket", "_times", F.when(F.col("_raw") < 0, EPSILON * (figures["mean"] or 0.0)).otherwise(F.col("_raw")).alias("idf"))
         tf = F.col("tf").cast("double")
         gain = F.col("_times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean_length))
-        read = self.postings().filter(F.col("bucket").isin(buckets))
+        read = self._kept(self._read("postings").filter(F.col("bucket").isin(buckets)))
         return read.join(weights, ["bucket", "tok"]).groupBy("query_id", self.key).agg(F.sum(gain).alias("score")).filter("score > 0")

@@ -217,7 +217,7 @@ def corpus(t) -> S.Corpus:
     docs = t("documents")
     vectors = t("embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), "path"), "vec_id").select("path", F.col("embedding").alias("vector"), F.concat(F.lit("view"), "label").alias("view"))
     means = dense.mean_vectors(vectors.select(text.domain_of(F.col("path")).alias("domain"), "vector"), "domain", "vector", 3)
-    return S.Corpus(docs.select("path", "text", F.col("date_created").alias("date"), "type"), chunk_index(t), vectors, t("edges"), memories.accesses(t("access_events")), means)
+    return S.Corpus(docs.select("path", "text", F.col("date_created").alias("date"), "type"), chunk_index(t), vectors, t("edges"), t("access_events"), means)
 
 
 def asked_with_vectors(t):

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import loose_date, nearness_bonus, with_time_range
-from larkspur.functions.text import domain_of, graph_terms
-from larkspur.operators import dense, graph, lexical, ranking
+from larkspur.functions.text import domain_of, graph_terms, plain_path
+from larkspur.operators import dense, graph, lexical, memories, ranking
 from larkspur.session import cut_lineage
 
 
@@ -22,7 +22,7 @@ class Corpus:
     index: lexical.LexicalIndex | None = None  # over paragraph chunks
     vectors: DataFrame | None = None  # path, vector; view where some are to be left out
     edges: DataFrame | None = None
-    accesses: DataFrame | None = None  # memory_path, accessed_at
+    accesses: DataFrame | None = None  # id, memory_path, accessed_at, source
     centroids: DataFrame | None = None  # domain, vector
     memberships: DataFrame | None = None  # path, domain; by default a path's top folder
 
@@ -106,7 +106,7 @@ def search(corpus: Corpus, queries: DataFrame, as_of: Column, options: Options =
     k = options.k
     fetch = max(3 * k, 15)
     both = reduce(DataFrame.unionByName, legs(corpus, queries, fetch, options))
-    ranked = ranking.fuse(both, ["query_id"], "path").drop("n_lists")
+    ranked = cut_lineage(ranking.fuse(both, ["query_id"], "path").drop("n_lists"))  # not more than three times fetch a query
     if options.spreading:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("path")))
         ranked = with_spreading(cut_lineage(ranked.withColumn("rank", place)), corpus.edges).drop("rank")
@@ -114,14 +114,15 @@ def search(corpus: Corpus, queries: DataFrame, as_of: Column, options: Options =
     if options.knowledge_penalty != 1.0:
         ranked = ranked.join(corpus.documents.select("path", F.lower("type").alias("_type")), "path", "left").withColumn("score", F.when(F.col("_type") == "knowledge", F.col("score") * options.knowledge_penalty).otherwise(F.col("score")))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("path"))
-    kept = ranked.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).select("query_id", "path", "score")
+    kept = cut_lineage(ranked.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).select("query_id", "path", "score"))
     if corpus.documents is not None:
         ranges = with_time_range(queries.select("query_id", "query"), "query", as_of.cast("date")).select("query_id", "start", "end", "anchor", "confidence")
         dated = kept.join(corpus.documents.select("path", loose_date(F.col("date")).alias("_date")), "path", "left").join(ranges, "query_id", "left")
         bonus = nearness_bonus(F.col("_date"), F.col("start"), F.col("end"), F.col("anchor"), F.col("confidence"))
         kept = dated.select("query_id", "path", (F.col("score") + F.when(F.col("start").isNotNull(), bonus).otherwise(0.0)).alias("score"))
     if corpus.accesses is not None:
-        used = ranking.activation(corpus.accesses, "memory_path", "accessed_at", as_of).select(F.col("memory_path").alias("path"), "activation")
+        events = corpus.accesses.withColumn("memory_path", plain_path(F.col("memory_path"))).join(kept.select(F.col("path").alias("memory_path")).distinct(), "memory_path", "left_semi")
+        used = ranking.activation(memories.accesses(events), "memory_path", "accessed_at", as_of).select(F.col("memory_path").alias("path"), "activation")
         kept = ranking.blend_activation(kept, used, "path", ["query_id"], options.activation_weight).select("query_id", "path", "score")
     return kept.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("path"))))
 

@@ -149,7 +149,7 @@ def filename_hints(t):
 
 
 @R.add("stem_dates", f"""
-SELECT doc_id, CASE WHEN regexp_matches({STEM}, '^\\d{{6}}(\\D|$)') THEN try_strptime('20' || left({STEM}, 6), '%Y%m%d')::date END AS stem_date FROM documents""")
+SELECT doc_id, CASE WHEN regexp_matches({STEM}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_strptime(left({STEM}, 10), '%Y-%m-%d') IS NOT NULL THEN try_strptime(left({STEM}, 10), '%Y-%m-%d')::date WHEN regexp_matches({STEM}, '^\\d{{6}}(\\D|$)') THEN try_strptime('20' || left({STEM}, 6), '%Y%m%d')::date END AS stem_date FROM documents""")
 def stem_dates(t):
     return t("documents").select("doc_id", dates.stem_date(text.stem_of(F.col("path"))).alias("stem_date"))
 

@@ -139,8 +139,9 @@ def write_routed(documents: DataFrame, folder: str) -> None:
     spark = documents.sparkSession
     placed = documents.withColumn("area", F.element_at(F.split("path", "/"), 1)).withColumn("year", F.substring(F.coalesce("date_created", F.lit("none")), 1, 4)).withColumn("stem", stem_of(F.col("path")))
     try:
-        there = spark.read.parquet(folder).select("path").distinct()
-        placed = placed.join(there, "path", "left_anti")
+        places = placed.select("area", "year").distinct()  # folders: only theirs are read
+        there = spark.read.parquet(folder).select("path", F.col("area").cast("string").alias("area"), F.col("year").cast("string").alias("year")).join(F.broadcast(places), ["area", "year"], "left_semi")
+        placed = placed.join(there.select("path").distinct(), "path", "left_anti")
     except Exception as problem:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
             raise

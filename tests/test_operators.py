@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from larkspur.operators import chunks as C
 from larkspur.operators import dense, edits, evaluation, graph, lexical, memories, models, ordered, ranking
 from larkspur.operators.components import connected_components
 from larkspur.sources import vault
@@ -66,6 +67,11 @@ def test_kept_index_against_plain_scores(spark, tmp_path):
     queries = spark.createDataFrame([("q", "fish red red"), ("empty", None), ("none", "zebra")], "query_id string, query string")
     got = {r.id: r.score for r in index.search(queries, "query").collect()}
     assert got == pytest.approx(bm25_by_hand(texts, "fish red red")) and index.figures()["n"] == 6
+    index.refresh(spark.createDataFrame([(6, "red red bird"), (9, "new fish here")], "id int, t string"), "t", spark.createDataFrame([(6,), (7,), (50,)], "id int"))
+    now = {k: v for k, v in texts.items() if k != 7} | {6: "red red bird", 9: "new fish here"}
+    assert {r.id: r.score for r in index.search(queries, "query").filter("query_id = 'q'").collect()} == pytest.approx(bm25_by_hand(now, "fish red red"))
+    index.append(spark.createDataFrame([(7, "red fish again")], "id int, t string"), "t")
+    assert {r.id: r.score for r in index.search(queries, "query").filter("query_id = 'q'").collect()} == pytest.approx(bm25_by_hand(now | {7: "red fish again"}, "fish red red"))
     assert all(f"bucket={b}" in " ".join(index.postings().inputFiles()) for b in {r.bucket for r in index.postings().select("bucket").distinct().collect()})
 
 
@@ -255,3 +261,31 @@ def test_empty_tables(spark, tmp_path):
     assert dense.nearest(vectors, "id", "v", spark.createDataFrame([], "query_id int, vector array<double>"), 3).count() == 0
     assert connected_components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
     assert memories.co_recalled(spark.createDataFrame([], "s int, i string"), F.col("s"), "i").count() == 0
+
+
+def test_functions_of_sql(spark):
+    from larkspur.functions import sql, text
+
+    sql.register(spark)
+    rows = spark.createDataFrame([("Ab 安靜的山路 c9é", "30_Journal/x.md"), ("", "y"), (None, None)], "t string, p string")
+    rows.createOrReplaceTempView("some_rows")
+    want = rows.select(text.tokens(F.coalesce("t", F.lit(""))).alias("a"), text.domain_of(F.col("p")).alias("b")).collect()
+    assert [tuple(r) for r in spark.sql("select vault_tokens(t), vault_domain(p) from some_rows").collect()] == [tuple(r) for r in want]
+    one = spark.sql("select vault_rrf(1, 1.0), ln(sum(vault_strength(timestamp_ntz'2024-01-01 20:00:00', timestamp_ntz'2024-01-02 00:00:00'))), vault_time_bonus(date'2024-01-15', date'2024-01-01', date'2024-01-31', date'2024-01-16', 1.0D)").first()
+    assert tuple(one) == pytest.approx((1 / 61, -0.693147, 0.3 * (1 - 0.3 / 30)), abs=1e-6)
+
+
+def test_what_follows_from_a_correction(spark, tmp_path):
+    when = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
+    memory = "memory_path string, period string, personal_facts array<string>, entities struct<people:array<string>,locations:array<string>,events:array<string>>"
+    before = spark.createDataFrame([("a", "", ["Ann in Rome"], (["Ann"], ["Rome"], [])), ("b", "", [], (["Bob"], [], []))], memory)
+    after = spark.createDataFrame([("a", "", [], (["Ann"], ["Oslo"], [])), ("b", "", [], (["Bob"], [], []))], memory)
+    docs = spark.createDataFrame([("a", "A paragraph about the city of Rome."), ("b", "A paragraph about nothing at all.")], "path string, text string")
+    new_docs = spark.createDataFrame([("a", "A paragraph about the city of Oslo."), ("b", "A paragraph about nothing at all.")], "path string, text string")
+    chunks = C.paragraph_chunks(docs, "path", "text")
+    index = lexical.LexicalIndex.build(chunks.select("chunk_id", "para"), "chunk_id", "para", str(tmp_path / "i"))
+    edges, cut = edits.cascade(graph.weave(before, when), chunks, index, after, new_docs, spark.createDataFrame([("a",)], "path string"), when)
+    assert {(r.rel, r.src, r.dst) for r in edges.collect()} == {("mem_person", "a", "Ann"), ("mem_location", "a", "Oslo"), ("mem_person", "b", "Bob"), ("person_loc", "Ann", "Rome")}
+    assert sorted(r.para for r in cut.collect()) == ["A paragraph about nothing at all.", "A paragraph about the city of Oslo."]
+    asked = spark.createDataFrame([("q", "Oslo"), ("r", "Rome")], "query_id string, query string")
+    assert index.figures()["n"] == 2 and {r.query_id for r in index.search(asked, "query").collect()} <= {"q"}
