@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 50
     for _ in range(most_rounds if mark[0] else 0):
         around = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # of each node's smaller neighbours the smallest takes the others, repeated ones going with the next step
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
