@@ -268,17 +268,18 @@ def link_variants(nodes: DataFrame, key: str, name: str, aliases: str, most_roun
         alone = alone.join(owned.select(F.col("form").alias(s), F.col("owner").alias(f"_{s}")), s)
     edges = exact.unionByName(alone.select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a != b"))
     owned = owned.filter("kind != 'q'")
-    before, entity = owned.select(F.col("owner").alias("node"), F.col("owner").alias("entity")).distinct(), _merged(everyone.select("node", F.col("node").alias("entity")), edges)
+    before, entity = None, _merged(everyone.select("node", F.col("node").alias("entity")), edges)
     for done in count():
         member = owned.select("form", F.col("owner").alias("node")).join(entity, "node").select("form", "entity")
         edges = cut_lineage(_alike(owned, keys, member, _richer(owned, before, entity)))
-        if edges.isEmpty():
-            edges = cut_lineage(_by_initial(forms.join(entity, "node").select("entity", "kind", "given", "others", "family").distinct()))
         if edges.isEmpty():
             break
         if done == most_rounds:
             raise RuntimeError(f"spellings still merge after {most_rounds} rounds")
         before, entity = entity, _merged(entity, edges)
+    # Initials change no profile's given and family names and join no two entities that have such, so that nothing can merge after
+    # them: neither these, nor what has no name but initials, whose choice depends on nothing else.
+    entity = _merged(entity, _by_initial(forms.join(entity, "node").select("entity", "kind", "given", "others", "family").distinct()))
     return entity.select(F.col("node").alias(key), "entity")
 
 
@@ -303,13 +304,15 @@ def _block_keys(owned: DataFrame) -> DataFrame:
     return words.distinct().select("form", "turned", F.explode(_less(F.col("word"))).alias("word"), "cat").select("form", "turned", F.concat_ws("|", "cat", "word").alias("key"))
 
 
-def _richer(owned: DataFrame, before: DataFrame, entity: DataFrame) -> DataFrame:
-    """Entities just merged of several whose profile has more pairs of a family and a given name than were written, so
-    that it can match what none of its forms did: those with several of both."""
-    was = before.select("node", F.col("entity").alias("_was"))
-    each = _people(owned).join(entity, "node").join(was, "node").groupBy("entity", "cat")
-    many = each.agg(F.countDistinct("_was").alias("_n"), F.countDistinct("family").alias("_f"), F.countDistinct("names").alias("_g"))
-    return many.filter("_n > 1 and _f > 1 and _g > 1").select("entity").distinct()
+def _richer(owned: DataFrame, before: DataFrame | None, entity: DataFrame) -> DataFrame:
+    """Entities with more pairs of a family and a given name than were written, so that they can match what none of their
+    forms did: those with several of both; of these, only what was just merged of several, once all have met."""
+    each = _people(owned).join(entity, "node")
+    if before is not None:
+        each = each.join(before.select("node", F.col("entity").alias("_was")), "node")
+    several = [F.countDistinct(c).alias(f"_{c}") for c in ("family", "names", *(["_was"] if before is not None else []))]
+    many = each.groupBy("entity", "cat").agg(*several).filter("_family > 1 and _names > 1")
+    return (many if before is None else many.filter("__was > 1")).select("entity").distinct()
 
 
 def _alike(owned: DataFrame, keys: DataFrame, member: DataFrame, fresh: DataFrame | None) -> DataFrame:
