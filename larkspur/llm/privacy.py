@@ -118,7 +118,7 @@ CJK_ADDRESS = re.compile(
 CJK = re.compile("[一-鿿]")
 CJK_RUN = re.compile("[一-鿿]{2,}")
 TOKEN = re.compile(rf"[A-ZÀ-Þ]\.|{_WORD}")
-DIGIT = re.compile(r"\d")
+DIGIT, FIVE_DIGITS = re.compile(r"\d"), re.compile(r"\d(?:\D*\d){4}")
 GAP = re.compile(r"[ ]?|[ ]\(?['\"]?|['\"]?\)?[ ]|,[ ]?")
 BEFORE_WORD, AFTER_WORD = re.compile(r"([^\W\d_]+)[,:]?\s*$"), re.compile(r"('s\b|’s\b)?[,]?\s*([^\W\d_]*)")
 TITLE_BEFORE = re.compile(rf"(?<!\w){TITLES}\.?\s$", re.I)
@@ -221,8 +221,9 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[float]
     emails = [m.span() for m in EMAIL.finditer(latin)] if "@" in latin or any(x in latin.lower() for x in WRITTEN_AT) else []
     spans = {(*m, "email") for m in emails}
     if DIGIT.search(latin):
-        spans |= {(m.start(), m.end(), "phone") for m in PHONE.finditer(latin) if sum(map(str.isdigit, m[0])) >= 7}
-        spans |= {(m.start(), m.end(), "id") for m in IDENT.finditer(latin) if sum(map(str.isdigit, m[0])) >= 5}
+        if FIVE_DIGITS.search(latin):
+            spans |= {(m.start(), m.end(), "phone") for m in PHONE.finditer(latin) if sum(map(str.isdigit, m[0])) >= 7}
+            spans |= {(m.start(), m.end(), "id") for m in IDENT.finditer(latin) if sum(map(str.isdigit, m[0])) >= 5}
         spans |= {(m.start(), m.end(), "address") for rx in ADDRESS for m in rx.finditer(latin)}
         if "號" in same or "号" in same:
             spans |= {(m.start(), m.end(), "address") for m in CJK_ADDRESS.finditer(same)}
