@@ -390,6 +390,26 @@ class Redactor:
             words |= {r["word"] for r in common_words(texts, text, signs).collect()}  # pairs of a family name's sign and another
         return cls(model, thresholds, Names(fixed.given | given, family, signs, words), listed)
 
+    def save(self, folder: str) -> None:
+        """Trees, thresholds and lists, so that they need not be made again."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{folder}/trees")
+        spark.createDataFrame(list(self.thresholds.items()), "kind string, threshold double").write.mode("overwrite").parquet(f"{folder}/thresholds")
+        rows = [(kind, word) for kind, words in (("given", self.names.given), ("family", self.names.family), ("sign", self.names.signs), ("word", self.names.words)) for word in words]
+        spark.createDataFrame(rows, "kind string, word string").write.mode("overwrite").parquet(f"{folder}/names")
+        if self.listed is not None:
+            self.listed.write.mode("overwrite").parquet(f"{folder}/listed")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Redactor:
+        names = {"given": set(), "family": set(), "sign": set(), "word": set()}
+        for row in spark.read.parquet(f"{folder}/names").collect():  # as many as are handed to the tasks
+            names[row["kind"]].add(row["word"])
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/listed")
+        listed = spark.read.parquet(f"{folder}/listed") if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+        thresholds = {r["kind"]: r["threshold"] for r in spark.read.parquet(f"{folder}/thresholds").collect()}
+        return cls(GBTClassificationModel.load(f"{folder}/trees"), thresholds, Names(*(frozenset(names[k]) for k in ("given", "family", "sign", "word"))), listed)
+
     def _known(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """Adds the listed words that occur in each text as ``_known``; null where all are handed to the tasks."""
         if self.listed is None:

@@ -88,6 +88,14 @@ def test_long_lists_of_names_are_joined(spark, redactor, monkeypatch):
     assert found[0] == found[1] and found[0]
 
 
+def test_kept_redactor_finds_the_same(spark, redactor, tmp_path):
+    redactor.save(str(tmp_path / "kept"))
+    again = privacy.Redactor.load(spark, str(tmp_path / "kept"))
+    df = spark.createDataFrame(list(TEXTS.items()), "k int, t string")
+    found = [sorted(map(tuple, r.spans(df, ["k"], "t").collect())) for r in (redactor, again)]
+    assert found[0] == found[1] and again.names == redactor.names
+
+
 def test_overlaps_and_no_rows(spark, redactor):
     assert privacy.best_spans([(0, 5, "phone", 0.9), (2, 9, "id", 0.95), (20, 30, "name", 0.6)]) == [(2, 9, "id"), (20, 30, "name")]
     assert redactor.spans(spark.createDataFrame([], "k int, t string"), ["k"], "t").count() == 0
