@@ -13,7 +13,7 @@ from larkspur.operators import edits, graph, lifecycle, memories, ranking
 from larkspur.operators.chunks import paragraph_chunks, parent_sections
 from larkspur.operators.lexical import LexicalIndex
 from larkspur.plans import search as plans
-from larkspur.session import cut_lineage
+from larkspur.session import cut_lineage, spread
 from larkspur.sources.inbox import append_accesses
 
 
@@ -34,7 +34,7 @@ class Vault:
 
     def build_index(self, folder: str) -> Vault:
         """The same vault with a lexical index over its paragraphs, kept at ``folder``."""
-        chunks = paragraph_chunks(self.documents, "path", "text").select("chunk_id", "para")
+        chunks = paragraph_chunks(spread(self.documents.select("path", "text")), "path", "text").select("chunk_id", "para")
         return replace(self, index=LexicalIndex.build(chunks, "chunk_id", "para", folder))
 
     def corpus(self) -> plans.Corpus:

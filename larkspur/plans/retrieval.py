@@ -13,7 +13,7 @@ from larkspur.operators.components import connected_components
 from larkspur.plans import search as S
 from larkspur.plans.registry import ACC, AS_OF, MEM, TOKENS, Registry, ranges_sql, spread_sql
 from larkspur.plans.texts import DOMAIN_SQL, PARAGRAPHS
-from larkspur.session import shared_folder
+from larkspur.session import shared_folder, spread
 
 R = Registry()
 
@@ -39,7 +39,7 @@ def chunk_index(t) -> lexical.LexicalIndex:
     spark = docs.sparkSession
     kept = (spark.sparkContext.applicationId, *docs.inputFiles())
     if kept not in _kept:
-        chunks = C.paragraph_chunks(docs, "path", "text").select("chunk_id", "para")
+        chunks = C.paragraph_chunks(spread(docs.select("path", "text")), "path", "text").select("chunk_id", "para")
         _kept[kept] = lexical.LexicalIndex.build(chunks, "chunk_id", "para", f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}")
     return _kept[kept]
 

@@ -9,6 +9,7 @@ from larkspur.operators import chunks as C
 from larkspur.operators import lexical
 from larkspur.operators import memories as M
 from larkspur.plans.registry import MEM, TOKENS, Registry, ranges_sql
+from larkspur.session import spread
 
 R = Registry()
 TOK = TOKENS.format("coalesce(text, '')")
@@ -26,7 +27,7 @@ def tokenize_stats(t):
 @R.add("corpus_df", f"""
 SELECT tok, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TOK}) AS tok FROM documents) GROUP BY tok""")
 def corpus_df(t):
-    return lexical.postings(t("documents"), "doc_id", "text").groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return lexical.postings(spread(t("documents").select("doc_id", "text")), "doc_id", "text").groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 ENDS = "'^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g'"
