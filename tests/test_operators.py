@@ -289,3 +289,32 @@ def test_what_follows_from_a_correction(spark, tmp_path):
     assert sorted(r.para for r in cut.collect()) == ["A paragraph about nothing at all.", "A paragraph about the city of Oslo."]
     asked = spark.createDataFrame([("q", "Oslo"), ("r", "Rome")], "query_id string, query string")
     assert index.figures()["n"] == 2 and {r.query_id for r in index.search(asked, "query").collect()} <= {"q"}
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_best_items_are_the_first_of_the_search(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(lexical, "BLOCK", block)
+    r = random.Random(4)
+    texts = [(f"d{r.randrange(40)}::{k}", " ".join(r.choice(["red", "fish", "the", "Stone", "安靜的路", "leaf", "x9"]) for _ in range(r.randrange(0, 9)))) for k in range(300)] + [("d1::odd", None), ("d2::odd", "İ the K")]
+    df = spark.createDataFrame(texts, "id string, t string").repartition(3)
+    index = lexical.LexicalIndex.build(df, "id", "t", str(tmp_path / "index"))
+    rows = [(k, " ".join(r.choice(["red", "the", "fish", "安靜", "x9", "zebra"]) for _ in range(r.randrange(1, 5)))) for k in range(30)] + [(99, None), (98, "the"), (97, "the")]
+    queries = spark.createDataFrame(rows, "query_id int, query string")
+    item = F.regexp_replace("id", "::.*", "")
+    for among in (None, spark.createDataFrame([(f"d{k}",) for k in range(0, 40, 2)], "item string")):
+        all_of = index.search(queries, "query").select("query_id", item.alias("item"), F.round("score", 6).alias("score"))
+        all_of = all_of if among is None else all_of.join(among, "item", "left_semi")
+        want = ranking.with_rank(all_of, ["query_id"], "item").filter("rank <= 7")
+        got = index.best(queries, "query", 7, item, among=among)
+        plain = lambda df: sorted((x.query_id, x["rank"], x.item, round(x.score, 6)) for x in df.collect())
+        assert plain(got) == plain(want) and got.count() > 100
+    assert index.best(queries.filter("query_id = 99"), "query", 7, item).count() == 0
+
+
+def test_tokens_in_python_are_those_of_the_columns(spark):
+    from larkspur.functions import text
+
+    r = random.Random(5)
+    rows = [("".join(r.choice("aZ9 .-_é安靜的山路İK\n㐀") for _ in range(r.randrange(60))),) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t string").select("t", text.tokens(F.col("t")).alias("toks"))
+    assert all(lexical._tokens_of(x.t) == x.toks for x in df.collect())
