@@ -309,6 +309,8 @@ def test_best_items_are_the_first_of_the_search(spark, tmp_path, monkeypatch, bl
         plain = lambda df: sorted((x.query_id, x["rank"], x.item, round(x.score, 6)) for x in df.collect())
         assert plain(got) == plain(want) and got.count() > 100
     assert index.best(queries.filter("query_id = 99"), "query", 7, item).count() == 0
+    few = queries.filter("query_id in (98, 97, 3)")
+    assert plain(index.best(few, "query", 7, item)) == [x for x in plain(index.best(queries, "query", 7, item)) if x[0] in (98, 97, 3)]
 
 
 def test_tokens_in_python_are_those_of_the_columns(spark):
