@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.operators import chunks as C
-from larkspur.operators import dense, edits, evaluation, graph, lexical, memories, models, ordered, ranking
+from larkspur.operators import dense, edits, evaluation, graph, lexical, memories, models, ordered, ranking, scoring
 from larkspur.operators.components import connected_components
 from larkspur.sources import vault
 from larkspur.streaming import jobs
@@ -293,7 +293,7 @@ def test_what_follows_from_a_correction(spark, tmp_path):
 
 @pytest.mark.parametrize("block", [64, 1 << 20])
 def test_best_items_are_the_first_of_the_search(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(lexical, "BLOCK", block)
+    monkeypatch.setattr(scoring, "BLOCK", block)
     r = random.Random(4)
     texts = [(f"d{r.randrange(40)}::{k}", " ".join(r.choice(["red", "fish", "the", "Stone", "安靜的路", "leaf", "x9"]) for _ in range(r.randrange(0, 9)))) for k in range(300)] + [("d1::odd", None), ("d2::odd", "İ the K")]
     df = spark.createDataFrame(texts, "id string, t string").repartition(3)
@@ -320,3 +320,32 @@ def test_tokens_in_python_are_those_of_the_columns(spark):
     rows = [("".join(r.choice("aZ9 .-_é安靜的山路İK\n㐀") for _ in range(r.randrange(60))),) for _ in range(300)]
     df = spark.createDataFrame(rows, "t string").select("t", text.tokens(F.col("t")).alias("toks"))
     assert all(lexical._tokens_of(x.t) == x.toks for x in df.collect())
+
+
+def test_patterns_of_many_queries(spark):
+    r = random.Random(6)
+    names = ["Anna", "Joanna", "Oslo", "summit", "Annaberg", "ab"]
+    rows = [(*r.choice([("mem_person", "Memory", f"m{r.randrange(60)}", "Person"), ("person_loc", "Person", r.choice(names), "Location"), ("mem_location", "Memory", f"m{r.randrange(60)}", "Location"), ("event_loc", "Event", r.choice(names), "Location")]), r.choice(names)) for _ in range(150)]
+    edges = spark.createDataFrame(rows, "rel string, src_label string, src string, dst_label string, dst string")
+    asked = [(q, t) for q in range(12) for t in {r.choice(["An", "anna", "Anna", "os", "lo", "mm", "zz", "a"]) for _ in range(4)}] + [(20, "Anna"), (21, "Anna"), (21, "Anna")]
+    found: dict[tuple, set] = {}
+    for q, term in asked:
+        if len(term) < 2:
+            continue
+        for rel, _, a, _, b in rows:
+            if rel in graph.ONE_HOP and term in b:
+                found.setdefault((q, a), set()).add((term, rel, graph.ONE_HOP[rel]))
+            for (one, two, near), weight in graph.TWO_HOPS.items():
+                for rel2, _, c, _, d in rows if rel == one else []:
+                    if rel2 == two and b == (c if near == "src" else d) and term in (d if near == "src" else c):
+                        found.setdefault((q, a), set()).add((term, one + two, weight))
+    want = {k: sum(w for _, _, w in v) for k, v in found.items()}
+    terms = spark.createDataFrame(asked, "query_id int, term string")
+    assert {(x.query_id, x.path): x.score for x in graph.pattern_search(edges, terms).collect()} == pytest.approx(want)
+    some = spark.createDataFrame([(f"m{k}",) for k in range(0, 60, 3)], "path string")
+    got = [(x.query_id, x["rank"], x.path) for x in graph.first_by_pattern(edges, terms, 3, some).collect()]
+    first = []
+    for q in {q for q, _ in want}:
+        own = sorted((-round(s, 6), p) for (k, p), s in want.items() if k == q and int(p[1:]) % 3 == 0)[:3]
+        first += [(q, i + 1, p) for i, (_, p) in enumerate(own)]
+    assert sorted(got) == sorted(first)
