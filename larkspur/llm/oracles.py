@@ -46,6 +46,14 @@ p AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n_partners FROM d a JOIN d b
 SELECT t.doc_id, n_copies, coalesce(n_partners, 0) AS n_partners, CASE WHEN n_copies > 0 THEN length(text) ELSE n_shared END::bigint AS n_shared
 FROM t LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id) WHERE n_copies > 0 OR n_shared IS NOT NULL"""
 
+P8_DOCUMENTS = """
+WITH w AS (SELECT doc_id, k, md5(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents WHERE length(text) >= 300)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), o AS (SELECT doc_id, k, h FROM w SEMI JOIN s USING (h)),
+c AS (SELECT doc_id, sum(least(300, n))::bigint AS n_shared FROM (SELECT doc_id, coalesce(lead(k) OVER (PARTITION BY doc_id ORDER BY k) - k, 300) AS n FROM o) GROUP BY doc_id),
+d AS (SELECT DISTINCT doc_id, h FROM o),
+p AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n_partners FROM d a JOIN d b ON a.h = b.h AND a.doc_id != b.doc_id GROUP BY a.doc_id)
+SELECT doc_id, n_partners, n_shared FROM c JOIN p USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -53,6 +61,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": P7,
         "p8_found": P8,
         "p8_amounts": P8_AMOUNTS,
+        "p8_documents": P8_DOCUMENTS,
         "p5_found": P5 + "SELECT path_a, path_b FROM f",
         "p5_scores": P5 + """
 SELECT path_a AS item_a, path_b AS item_b, n_a, n_b, n_ab, n_all AS n_baskets,

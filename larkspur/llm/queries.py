@@ -137,6 +137,10 @@ def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(table(spark, sf_dir, "documents"), "doc_id", "text", 300)
 
 
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.document_amounts(table(spark, sf_dir, "documents"), "doc_id", "text", 300)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -155,4 +159,5 @@ def queries() -> dict[str, Query]:
         "p7_overlaps": p7_overlaps,
         "p8_found": p8_found,
         "p8_amounts": p8_amounts,
+        "p8_documents": p8_documents,
     }

@@ -285,11 +285,8 @@ def shared_pairs(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return both.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b")).distinct()
 
 
-def shared_amounts(records: DataFrame, key: str, text: str, span: int = 300) -> DataFrame:
-    """One row per text that shares something: ``key`` (the smallest of its copies), ``n_copies``, ``n_partners`` among
-    different texts, and ``n_shared`` characters that also stand in another record (all, where there are copies)."""
-    found, members, hot = _shared(records, key, text, span)
-    found = cut_lineage(found)
+def _covered(found: DataFrame, hot: DataFrame | None, span: int) -> DataFrame:
+    """``_id, n_shared``: characters of each text that also stand in another one."""
     places = found.select(F.explode(F.array(
         F.struct(F.col("a").alias("_id"), F.col("begin_a").alias("_begin"), (F.col("begin_a") + F.col("size")).alias("_end")),
         F.struct(F.col("b").alias("_id"), F.col("begin_b").alias("_begin"), (F.col("begin_b") + F.col("size")).alias("_end")),
@@ -299,7 +296,15 @@ def shared_amounts(records: DataFrame, key: str, text: str, span: int = 300) ->
     places = places.groupBy("_id", "_begin").agg(F.max("_end").alias("_end"))
     before = F.max("_end").over(Window.partitionBy("_id").orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("_end") - F.greatest(F.col("_begin"), F.coalesce(before, F.lit(0))))
-    covered = places.withColumn("_fresh", fresh).groupBy("_id").agg(F.sum("_fresh").alias("n_shared"))
+    return places.withColumn("_fresh", fresh).groupBy("_id").agg(F.sum("_fresh").alias("n_shared"))
+
+
+def shared_amounts(records: DataFrame, key: str, text: str, span: int = 300) -> DataFrame:
+    """One row per text that shares something: ``key`` (the smallest of its copies), ``n_copies``, ``n_partners`` among
+    different texts, and ``n_shared`` characters that also stand in another record (all, where there are copies)."""
+    found, members, hot = _shared(records, key, text, span)
+    found = cut_lineage(found)
+    covered = _covered(found, hot, span)
     partners = _pairs(found, hot).select(F.explode(F.array("a", "b")).alias("_id")).groupBy("_id").agg(F.count("*").alias("n_partners"))
     copies = members.groupBy(F.col("_first").alias("_id")).agg((F.count("*") - 1).alias("n_copies"))
     sizes = records.select(F.col(key).cast("bigint").alias("_id"), F.char_length(text).cast("bigint").alias("_size")).groupBy("_id").agg(F.max("_size").alias("_size"))
@@ -308,3 +313,21 @@ def shared_amounts(records: DataFrame, key: str, text: str, span: int = 300) ->
         F.col("_id").alias(key), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_partners", F.lit(0)).alias("n_partners"),
         F.when(F.col("n_copies") > 0, F.col("_size")).otherwise(F.col("n_shared")).alias("n_shared"),
     )
+
+
+def document_amounts(records: DataFrame, key: str, text: str, span: int = 300) -> DataFrame:
+    """One row per record that shares something, each copy among them: ``key``, ``n_partners``, all other records with a common
+    stretch, copies on either side counted, and ``n_shared``, its characters that also stand in another record."""
+    found, members, hot = _shared(records, key, text, span)
+    found = cut_lineage(found)
+    group = members.groupBy("_first").agg(F.count("*").alias("_n"))
+    both = _pairs(found, hot).select(F.explode(F.array(F.struct(F.col("a").alias("_id"), F.col("b").alias("_first")), F.struct(F.col("b").alias("_id"), F.col("a").alias("_first")))).alias("_s")).select("_s.*")
+    others = both.join(group, "_first", "left").groupBy("_id").agg(F.sum(F.coalesce("_n", F.lit(1))).alias("_others"))
+    own = group.select(F.col("_first").alias("_id"), (F.col("_n") - 1).alias("_copies"))
+    each = _covered(found, hot, span).join(others, "_id", "full").join(own, "_id", "full").withColumnRenamed("_id", "_first")
+    sizes = records.select(F.col(key).cast("bigint").alias("_first"), F.char_length(text).cast("bigint").alias("_size")).groupBy("_first").agg(F.max("_size").alias("_size"))
+    out = each.join(sizes, "_first").join(members, "_first", "left")
+    return out.select(
+        F.coalesce("_id", "_first").alias(key), (F.coalesce("_others", F.lit(0)) + F.coalesce("_copies", F.lit(0))).cast("bigint").alias("n_partners"),
+        F.when(F.col("_copies") > 0, F.col("_size")).otherwise(F.col("n_shared")).cast("bigint").alias("n_shared"),
+    )

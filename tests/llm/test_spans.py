@@ -82,3 +82,19 @@ def test_chunks_resist_insertions():
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert spans.shared_pairs(*spans.shared_spans(df, "doc_id", "text", 300), "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_amounts_of_every_document(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    docs = corpus()
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    pairs = truth(docs, 300)
+    windows = {k: [t[i : i + 300] for i in range(len(t) - 299)] for k, t in docs.items() if t}
+    expected = {}
+    for k in {k for p in pairs for k in p}:
+        others = {w for j, own in windows.items() if j != k for w in own}
+        places = {c for i, w in enumerate(windows[k]) if w in others for c in range(i, i + 300)}
+        expected[k] = (sum(k in p for p in pairs), len(places))
+    got = spans.document_amounts(df, "doc_id", "text", 300).collect()
+    assert {r.doc_id: (r.n_partners, r.n_shared) for r in got} == expected and len(got) == len(expected) and {102, 103} <= set(expected)
