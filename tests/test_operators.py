@@ -349,3 +349,21 @@ def test_patterns_of_many_queries(spark):
         own = sorted((-round(s, 6), p) for (k, p), s in want.items() if k == q and int(p[1:]) % 3 == 0)[:3]
         first += [(q, i + 1, p) for i, (_, p) in enumerate(own)]
     assert sorted(got) == sorted(first)
+
+
+def test_spreading_for_many_queries_at_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "AT_ONCE", 300)
+    r = random.Random(7)
+    rows = [("r", "Memory", f"m{r.randrange(30)}", "Person", f"p{r.randrange(12)}") for _ in range(60)] + [("r", "Person", f"p{r.randrange(12)}", "Event", f"e{r.randrange(3)}") for _ in range(15)]
+    edges = spark.createDataFrame(rows, "rel string, src_label string, src string, dst_label string, dst string")
+    seeds = spark.createDataFrame([(q, f"Memory:m{r.randrange(32)}") for q in range(20) for _ in range(3)] + [(5, "Person:p1"), (77, "Memory:none")], "query_id int, node string")
+    wanted = spark.createDataFrame([(q, f"Memory:m{k}") for q in range(20) for k in range(30)], "query_id int, node string")
+    slow = graph.personalised_pagerank(edges, seeds, tolerance=1e-11).filter("node like 'Memory:%'").join(seeds, ["query_id", "node"], "left_anti").collect()
+    want = {(x.query_id, x.node): x.score for x in slow}
+    got = graph.activation_at(edges, seeds, wanted).collect()
+    assert {(x.query_id, x.node): x.score for x in got} == pytest.approx(want, abs=1e-9)
+    assert all(x.top == pytest.approx(max(s for (q, _), s in want.items() if q == x.query_id), abs=1e-9) for x in got)
+    first = {(x.query_id, x["rank"]): x.path for x in graph.spreading_activation(edges, seeds, 4).collect()}
+    for q in range(20):
+        own = sorted((-round(s, 9), n[7:]) for (k, n), s in want.items() if k == q)[:4]
+        assert [first.get((q, i + 1)) for i in range(len(own))] == [p for _, p in own]
