@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import lexical
+from larkspur.operators import graph, lexical
 
 
 def test_tokens_of_many_texts_at_once():
@@ -31,3 +31,11 @@ def test_paragraphs_end_where_sql_ends_them(spark):
     """White space before a last line separator stays, as SQL's pattern ends at the end of the text alone."""
     df = spark.createDataFrame([("\n # Heading\nA paragraph that is long enough  ",), ("\t A paragraph without any marks \x0b",)], "t string")
     assert [p for r in df.select(text.paragraphs(F.col("t")).alias("p")).collect() for p in r.p] == ["Heading\nA paragraph that is long enough  ", "A paragraph without any marks"]
+
+
+def test_terms_meet_names_as_numbers(spark):
+    edges = spark.createDataFrame([("mem_person", "Memory", "m1", "Person", "Arne"), ("person_loc", "Person", "Arne", "Location", "Arnheim")], "rel string, src_label string, src string, dst_label string, dst string")
+    numbers = graph._numbered(spark.createDataFrame([(1, "Arn"), (2, "Arn"), (2, "x"), (3, "heim")], "query_id int, term string"))
+    assert sorted((r.term, r.no) for r in numbers.collect()) == [("Arn", 1), ("heim", 2)]
+    (row,) = graph._held_terms(edges, numbers).collect()
+    assert sorted(zip(row.toks, row.gains)) == [(1, 1.0), (1, 2.0), (2, 1.0)]
