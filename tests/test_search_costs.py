@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
@@ -39,3 +41,22 @@ def test_terms_meet_names_as_numbers(spark):
     assert sorted((r.term, r.no) for r in numbers.collect()) == [("Arn", 1), ("heim", 2)]
     (row,) = graph._held_terms(edges, numbers).collect()
     assert sorted(zip(row.toks, row.gains)) == [(1, 1.0), (1, 2.0), (2, 1.0)]
+
+
+def test_layers_of_neighbours_sum_up_like_links():
+    """A hub of more neighbours than there are layers, a chain, nodes in any order."""
+    rng = np.random.default_rng(5)
+    ends = np.array([(7, k) for k in range(8, 8 + 3 * graph.LAYERS)] + [(k, k + 1) for k in range(7)])
+    n = int(ends.max()) + 1
+    a, b = np.concatenate([ends, ends[:, ::-1]]).T
+    place, layers, rest, share = graph._layers(a, b, n)
+    values, want, got = rng.random(n), np.zeros(n), np.zeros(n)
+    np.add.at(want, b, values[a])
+    placed = np.empty(n)
+    placed[place] = values
+    for layer in layers:
+        got[: len(layer)] += placed[layer]
+    for k, more in rest:
+        got[k] += placed[more].sum()
+    assert len(layers) == graph.LAYERS and got[place] == pytest.approx(want)
+    assert share[place] == pytest.approx(1 / np.bincount(a, minlength=n))
