@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import graph, lexical
+from larkspur.operators import components, graph, lexical
 
 
 def test_tokens_of_many_texts_at_once():
@@ -60,3 +60,16 @@ def test_layers_of_neighbours_sum_up_like_links():
         got[k] += placed[more].sum()
     assert len(layers) == graph.LAYERS and got[place] == pytest.approx(want)
     assert share[place] == pytest.approx(1 / np.bincount(a, minlength=n))
+
+
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    """No rounds of joins for the driver to plan, whatever the length of the chain; the same groups as by rounds."""
+    pairs = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(70)] + [("ö", "z"), ("z", "中"), ("中", "\U0001f600"), ("q", "q"), (None, "r"), ("z", "ö")]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    written = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df, cut=components.cut_lineage: written.append(1) or cut(df))
+    got = {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()}
+    assert len(written) == 1
+    assert got == {f"n{k:03d}": "n000" for k in range(71)} | dict.fromkeys(("z", "ö", "中", "\U0001f600"), "z")
+    monkeypatch.setattr(components, "MOST_IN_A_TASK", 0)
+    assert {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()} == got
