@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text
 from larkspur.operators import components, graph, lexical
+from larkspur.plans import retrieval
 
 
 def test_tokens_of_many_texts_at_once():
@@ -73,3 +74,14 @@ def test_components_of_few_edges_take_one_task(spark, monkeypatch):
     assert got == {f"n{k:03d}": "n000" for k in range(71)} | dict.fromkeys(("z", "ö", "中", "\U0001f600"), "z")
     monkeypatch.setattr(components, "MOST_IN_A_TASK", 0)
     assert {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()} == got
+
+
+def test_spreading_answers_every_query(spark):
+    """Whatever the number of a query, by its hits and by the names in its text; a query without either in the graph has no rows."""
+    hits = [(k, q, text, "dense", 0.5, path) for k, (q, text, path) in enumerate([(1, "x", "m1"), (10, "x", "m1"), (13, "Arne", None), (27, None, "m2"), (31, "x", "m9")])]
+    results = spark.createDataFrame(hits, "result_id long, query_id long, query string, source string, score double, memory_path string").withColumn("chat_category", F.lit(None).cast("string"))
+    edges = spark.createDataFrame([("mem_person", "Memory", m, "Person", "Arne") for m in ("m1", "m2", "m3")], "rel string, src_label string, src string, dst_label string, dst string")
+    found = retrieval.spreading_topk({"search_results": results, "edges": edges}.__getitem__)
+    assert sorted((r.query_id, r["rank"], r.path) for r in found.collect()) == [
+        (1, 1, "m2"), (1, 2, "m3"), (10, 1, "m2"), (10, 2, "m3"), (13, 1, "m1"), (13, 2, "m2"), (13, 3, "m3"), (27, 1, "m1"), (27, 2, "m3"),
+    ]
